@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import formdups, quota, split
+from . import formdups, leak, quota, residue, split
 
 ITEM = ["item_kind", "item_key", "para_no", "sent_no"]
 
@@ -66,6 +66,26 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.quota_sample(table(spark, sf_dir, "demographics"), table(spark, sf_dir, "sample_targets"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that quote a test item, with the item."""
+    return p7_passages(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that quote a test item, with the longest passage's words and edits."""
+    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are residue or hold a placeholder."""
+    return residue.residue_docs(table(spark, sf_dir, "documents"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs of residue in every document that has any."""
+    return residue.residue_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_counts, p3_found, p3_report, p3_sample)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_counts, p3_found, p3_report, p3_sample, p7_found, p7_passages, p8_found, p8_report)
 }
