@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import formdups, leak, quota, residue, split
+from . import formdups, leak, pairs, quota, residue, split
 
 ITEM = ["item_kind", "item_key", "para_no", "sent_no"]
 
@@ -66,6 +66,11 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.quota_sample(table(spark, sf_dir, "demographics"), table(spark, sf_dir, "sample_targets"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective replies with their defect."""
+    return pairs.defects(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "documents"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that quote a test item, with the item."""
     return p7_passages(spark, sf_dir).select("doc_id", "item_id")
@@ -87,5 +92,5 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_counts, p3_found, p3_report, p3_sample, p7_found, p7_passages, p8_found, p8_report)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_counts, p3_found, p3_report, p3_sample, p4_found, p7_found, p7_passages, p8_found, p8_report)
 }
