@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import formdups, leak, pairs, quota, residue, split
+from . import canonical, formdups, leak, pairs, quota, residue, split
 
 ITEM = ["item_kind", "item_key", "para_no", "sent_no"]
 
@@ -71,6 +71,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(table(spark, sf_dir, "predictions"), table(spark, sf_dir, "documents"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values with the entry that they denote, or 0."""
+    return p5_slips(spark, sf_dir).select("triple_id", "field_name", "entity_id")
+
+
+def p5_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values with the entry that they denote and the slips in them."""
+    return canonical.denoted(table(spark, sf_dir, "triples"), table(spark, sf_dir, "canonical_entities"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that quote a test item, with the item."""
     return p7_passages(spark, sf_dir).select("doc_id", "item_id")
@@ -92,5 +102,5 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_counts, p3_found, p3_report, p3_sample, p4_found, p7_found, p7_passages, p8_found, p8_report)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_counts, p3_found, p3_report, p3_sample, p4_found, p5_found, p5_slips, p7_found, p7_passages, p8_found, p8_report)
 }
