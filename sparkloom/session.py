@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,3 +47,20 @@ def durable(df: DataFrame) -> DataFrame:
     cost a re-read, never a recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, wherever they run; once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(here.rglob("*.py")):
+            z.write(source, source.relative_to(here.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
