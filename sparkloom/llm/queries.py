@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import canonical, formdups, leak, pairs, quota, residue, split
+from . import canonical, formdups, leak, pack, pairs, quota, residue, split
 
 ITEM = ["item_kind", "item_key", "para_no", "sent_no"]
 
@@ -81,6 +81,21 @@ def p5_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.denoted(table(spark, sf_dir, "triples"), table(spark, sf_dir, "canonical_entities"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the packing gives more than one container."""
+    return p6_containers(spark, sf_dir).filter("n_containers > 1").select("doc_id")
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its size and container."""
+    return pack.pack(table(spark, sf_dir, "documents"))
+
+
+def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and unused space of the packing."""
+    return pack.unused(p6_containers(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that quote a test item, with the item."""
     return p7_passages(spark, sf_dir).select("doc_id", "item_id")
@@ -102,5 +117,5 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_counts, p3_found, p3_report, p3_sample, p4_found, p5_found, p5_slips, p7_found, p7_passages, p8_found, p8_report)
+    f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_counts, p3_found, p3_report, p3_sample, p4_found, p5_found, p5_slips, p6_found, p6_containers, p6_unused, p7_found, p7_passages, p8_found, p8_report)
 }

@@ -55,4 +55,5 @@ SQL: dict[str, str] = {
     "p2_found": f"select source_table, kept_id, id as copy_id from ({_GROUPS}) where id <> kept_id",
     "p2_counts": f"select source_table, kept_id, count(*) as n_copies from ({_GROUPS}) group by all",
     "p3_found": _TARGETS + "select plan_id, category from c where available < required",
+    "p6_found": "select doc_id from documents where octet_length(encode(text)) + 1 > 2048",
 }
