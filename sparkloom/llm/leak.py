@@ -48,8 +48,8 @@ def plain_words(text: Column) -> Column:
 
 
 def furthest(a: list[int], b: list[int], most: int) -> list[int]:
-    """For e = 0, 1, ... the most words of ``a`` that a start of ``b`` repeats with e edits, every
-    edit being a changed, dropped or added word."""
+    """For e = 0, 1, ... the most words of ``a`` that a start of ``b`` repeats with at most e edits and
+    a last word that is unchanged, every edit being a changed, dropped or added word."""
     reach = {0: 0}  # diagonal (position in b minus position in a) -> position in a
     out: list[int] = []
     la, lb = len(a), len(b)
@@ -61,14 +61,18 @@ def furthest(a: list[int], b: list[int], most: int) -> list[int]:
                     if ii <= la and 0 <= ii + dd <= lb and grown.get(dd, -1) < ii:
                         grown[dd] = ii
             reach = grown
+        best = out[-1] if out else 0
         for d, i in reach.items():
+            start = i
             while i < la and i + d < lb and a[i] == b[i + d]:
                 i += 1
             reach[d] = i
+            if i > start and i > best:
+                best = i
         if not reach:
             break
-        out.append(max(reach.values()))
-        if out[-1] == la:
+        out.append(best)
+        if best == la:
             break
     return out
 

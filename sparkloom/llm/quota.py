@@ -232,6 +232,8 @@ def quota_sample(demographics: DataFrame, targets: DataFrame, seed: int = 42) ->
     """(plan_id, qid, cell): the drawn sample of every plan."""
     spark = demographics.sparkSession
     plans = _plans(targets)
+    if not plans:
+        return spark.createDataFrame([], "plan_id string, qid string, cell string")
     entities = distinct_entities(demographics, sorted({t["attribute"] for p in plans.values() for t in p}))
     solved = solve_all(entities, plans)
     parts = []
@@ -260,8 +262,6 @@ def quota_sample(demographics: DataFrame, targets: DataFrame, seed: int = 42) ->
         rank = F.row_number().over(Window.partitionBy("cell").orderBy("u", "qid"))
         partly = near.filter("slice = last").withColumn("rank", rank).filter("rank <= remaining").select("qid", "cell")
         parts.append(whole.unionByName(partly).select(F.lit(plan_id).alias("plan_id"), "qid", "cell"))
-    if not parts:
-        return spark.createDataFrame([], "plan_id string, qid string, cell string")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
