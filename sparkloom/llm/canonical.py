@@ -39,6 +39,8 @@ CHARS_PER_SLIP, MAX_SLIPS, MAX_EDITS = 4, 3, 5
 OWN_SHARE, GENERAL_NAMES = 0.3, 5
 #: First radius, which finds nearly all that is found; only the rest is searched for further off.
 NEAR_EDITS = 2
+#: Pairs whose distances are computed together.
+BLOCK = 16_384
 #: Keys that were looked up and are remembered in a task.
 CACHE = 200_000
 
@@ -121,19 +123,29 @@ def levenshtein(a: str, b: str) -> int:
     return row[-1]
 
 
-def slips(a: str, b: str) -> int:
-    """Edits of which an exchange of two neighbouring letters is one (optimal string alignment)."""
+def slips(a: str, b: str, most: int = 1 << 30) -> int:
+    """Edits of which an exchange of two neighbouring letters is one (optimal string alignment); any
+    number over ``most`` where there are more. Only the band that can hold so few is filled."""
+    la, lb = len(a), len(b)
+    if abs(la - lb) > most:
+        return most + 1
+    far = most + 1
     before: list[int] = []
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
-            new.append(d)
+    row = list(range(lb + 1))
+    for i in range(1, la + 1):
+        x = a[i - 1]
+        lo, hi = max(1, i - most), min(lb, i + most)
+        new = [far] * (lb + 1)
+        if i <= most:
+            new[0] = i
+        for j in range(lo, hi + 1):
+            y = b[j - 1]
+            d = row[j - 1] if x == y else 1 + min(row[j], new[j - 1], row[j - 1])
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and before[j - 2] + 1 < d:
+                d = before[j - 2] + 1
+            new[j] = d
         before, row = row, new
-    return row[-1]
+    return row[lb]
 
 
 class Codes:
@@ -157,19 +169,26 @@ def distances(masks: np.ndarray, sizes: np.ndarray, q: np.ndarray, texts: np.nda
     mv = np.zeros(len(q), np.uint64)
     score = sizes[q].astype(np.int64)
     last = (sizes[q] - 1).astype(np.uint64)
-    for j in range(int(lengths[t].max(initial=0))):
-        live = lengths[t] > j
-        code = np.maximum(texts[t, j], 0)
-        eq = masks[q, code]
+    ends = lengths[t]
+    shortest = int(ends.min(initial=0))
+    for j in range(int(ends.max(initial=0))):
+        eq = masks[q, np.maximum(texts[t, j], 0)]
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph = mv | ~(xh | pv)
         mh = pv & xh
-        score += np.where(live, ((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64), 0)
+        change = ((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)
         ph = (ph << one) | one
-        mh = mh << one
-        pv = np.where(live, mh | ~(xv | ph), pv)
-        mv = np.where(live, ph & xv, mv)
+        mh <<= one
+        if j < shortest:
+            score += change
+            pv = mh | ~(xv | ph)
+            mv = ph & xv
+        else:
+            live = ends > j
+            score += np.where(live, change, 0)
+            pv = np.where(live, mh | ~(xv | ph), pv)
+            mv = np.where(live, ph & xv, mv)
     return score
 
 
@@ -243,8 +262,11 @@ class Tree:
         most = int(radius.max())
         while len(q):
             next_q, next_t = [], []
-            for s in range(0, len(q), 100_000):
-                qs, ts = q[s : s + 100_000], t[s : s + 100_000]
+            # keys of like length together, in blocks that stay in the processor's cache
+            order = np.argsort(self.lengths[t], kind="stable")
+            q, t = q[order], t[order]
+            for s in range(0, len(q), BLOCK):
+                qs, ts = q[s : s + BLOCK], t[s : s + BLOCK]
                 d = distances(masks, sizes, qs, self.texts, self.lengths, ts)
                 for k in np.flatnonzero(d <= radius[qs]):
                     out[fits[qs[k]]].append((int(d[k]), int(ts[k])))
@@ -267,7 +289,10 @@ def slips_of(key: str) -> int:
 def admissible(key: str, name: str, general: set[str]) -> int | None:
     """Slips between a typed and a reference key, if few enough: on the whole, and in the words that
     are not general."""
-    n = slips(key, name)
+    most = min(slips_of(key), slips_of(name))
+    n = slips(key, name, most)
+    if n > most:
+        return None
     typed, words = key.split(), name.split()
     own = [k for k, w in enumerate(words) if w not in general]
     letters = sum(len(words[k]) for k in own)
@@ -275,7 +300,6 @@ def admissible(key: str, name: str, general: set[str]) -> int | None:
         wrong = sum(slips(typed[k], words[k]) for k in own) if len(typed) == len(words) else n
         if min(wrong, n) >= OWN_SHARE * letters:
             return None
-    most = min(slips_of(key), slips_of(name))
     if initial := re.match(r"(?:\w+ )?\w (?=\w)", name):
         # initials say little, so they have to stand, and the rest may differ less
         most = min(most - 1, 2) if key.startswith(initial.group()) else 0
