@@ -64,3 +64,10 @@ def ship_package(spark: SparkSession) -> None:
             z.write(source, source.relative_to(here.parent))
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(app)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """Rows of an input that comes in fewer parts than there are cores, spread over the cores; anything
+    else as it is. For work per row that is worth far more than moving the row once."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
