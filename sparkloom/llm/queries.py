@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import widen
 from ..sources.tables import table
 from . import canonical, formdups, leak, pack, pairs, quota, residue, split
 
@@ -78,7 +79,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed values with the entry that they denote and the slips in them."""
-    return canonical.denoted(table(spark, sf_dir, "triples"), table(spark, sf_dir, "canonical_entities"))
+    return canonical.denoted(widen(table(spark, sf_dir, "triples").select("triple_id", "subject", "obj")), table(spark, sf_dir, "canonical_entities"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +104,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that quote a test item, with the longest passage's words and edits."""
-    return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leak.leaks(widen(table(spark, sf_dir, "documents").select("doc_id", "text")), table(spark, sf_dir, "benchmark"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
