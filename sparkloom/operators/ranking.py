@@ -15,8 +15,6 @@ from ..functions.text import ngram_overlap
 #: Query vectors in one broadcast block, and numbers in one block of products.
 QUERY_BLOCK, PRODUCTS = 4096, 4_000_000
 K1, B = 1.5, 0.75
-#: Terms in more documents than this share are weighed where they are, not through a shuffle.
-FREQUENT_SHARE = 0.05
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:

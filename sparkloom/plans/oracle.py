@@ -137,6 +137,15 @@ EUROPE = "(" + ", ".join(f"'{q(c)}'" for c in S.EUROPEAN) + ")"
 NUMBERED_GEN = "((rep * 7919 + row_no * 104729 + 15485863) % {n})"
 
 
+def weighed(step: str, chunks: str, n: int) -> str:
+    """One hop of balancing: scores of ``step`` by the groups in ``chunks``."""
+    return f"""k{n} as (select query_id, attr, grp, count(*) as n from {chunks} join lt using (chunk_id) group by all),
+    s{n} as (select query_id, attr, sum(n) as total, count(*) as groups from k{n} group by all),
+    w{n} as (select h.query_id, h.entity, sum(m * case when total is null then 1.0 when coalesce(n, 0) / total > 1.0 / greatest(groups, 2) then 0.8 else 1.0 / 0.8 end) / sum(m) as w
+          from {step} h join oe using (entity) left join s{n} using (query_id, attr) left join k{n} using (query_id, attr, grp) group by all),
+    a{n} as (select h.query_id, h.entity, h.score * coalesce(w, 1.0) as score from {step} h left join w{n} using (query_id, entity))"""
+
+
 def demo(keys: str, source: str, skip: str = "") -> str:
     geo = f"case when geo_group <> 'unknown' then geo_group end" if skip else "geo_group"
     return f"""x as (select {keys}, qid, pos from (select {keys}, unnest({qids('entity_ids')}) as qid, generate_subscripts({qids('entity_ids')}, 1) as pos from {source})),
@@ -227,6 +236,15 @@ SQL: dict[str, str] = {
         f as (select query_id, grp, min(rank) as first from x group by all), o as (select *, row_number() over (partition by query_id order by first) - 1 as nth, count(*) over (partition by query_id) as n from f),
         y as (select x.*, row_number() over (partition by x.query_id, x.grp order by rank) as place, 20 // n + case when nth < 20 % n then 1 else 0 end as quota from x join o using (query_id, grp))
         select query_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank, chunk_id, round(score, 9) as score from y where place <= quota""",
+    "fair_in_traversal": f"""with {BFS}, {TAGS},
+        lt as (select chunk_id, 'gender' as attr, gender as grp from tags where gender is not null union all select chunk_id, 'geo_group', geo_group from tags where geo_group is not null),
+        oe as (select entity, attr, grp, count(*) as m from m join lt using (chunk_id) group by all), {weighed('h1', 'c0', 1)},
+        c1 as (select query_id, chunk_id, max(score) as score from (select * from c0 union all select query_id, chunk_id, score from a1 join m using (entity)) group by all),
+        g2 as (select query_id, b as entity, max(score) * 0.25 as score from a1 join e on a1.entity = e.a
+               where not exists (select 1 from v1 x where x.query_id = a1.query_id and x.entity = e.b) group by all), {weighed('g2', 'c1', 2)},
+        c2 as (select query_id, chunk_id, round(max(score), 9) as score from (select * from c1 union all select query_id, chunk_id, score from a2 join m using (entity)) group by all),
+        rk as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from c2)
+        select query_id, rank, chunk_id, score from rk where rank <= 20""",
     "graph_filtered": f"""with {BFS}, {RANKED}, top as (select * from ranked where rank <= 20), nd as (select distinct query_id, entity from top join m using (chunk_id)),
         pa as (select distinct least(subject, obj) as a, greatest(subject, obj) as b from t where subject <> obj),
         ins as (select x.query_id, a, b from pa join nd x on x.entity = a join nd y on y.entity = b and y.query_id = x.query_id),
