@@ -32,12 +32,14 @@ from pyspark.sql import DataFrame
 #: Names in one tree.
 SHARD_NAMES = 100_000
 #: One slip (a changed, missing or added letter, or two letters exchanged) for so many characters of
-#: a key, up to MAX_SLIPS; an exchange is two edits of the tree's metric, so its radius is larger.
-CHARS_PER_SLIP, MAX_SLIPS, MAX_EDITS = 4, 3, 5
+#: a key, up to MAX_SLIPS; an exchange is two edits of the tree's metric, so its radius is twice that.
+CHARS_PER_SLIP, MAX_SLIPS = 4, 3
+MAX_EDITS = 2 * MAX_SLIPS
 #: Slips stay under this share of the letters of a name's own words; a word that GENERAL_NAMES names
 #: of the list have is a general one.
 OWN_SHARE, GENERAL_NAMES = 0.3, 5
-#: First radius, which finds nearly all that is found; only the rest is searched for further off.
+#: First radius, which holds every entry of one slip and nearly all that is found; the rest is searched
+#: for further off.
 NEAR_EDITS = 2
 #: Pairs whose distances are computed together.
 BLOCK = 16_384
@@ -323,11 +325,13 @@ def resolve(values: list[str], trees: list[Tree]) -> list[tuple[int, int]]:
                     offer(k, 0, tree, tree.exact[key])
                     break
     for most in (NEAR_EDITS, MAX_EDITS):
-        # what has been found within a smaller radius of one tree may yet be nearer in another
-        missing = [k for k in range(len(values)) if not found[k]]
+        # what has been found within a smaller radius of one tree may yet be nearer in another; entries
+        # of as many slips as the nearest one may be twice as many edits off
+        reach = [min(most, 2 * min((n for n, _ in f.values()), default=MAX_SLIPS)) for f in found]
+        missing = [k for k in range(len(values)) if most == NEAR_EDITS and not found[k] or reach[k] > NEAR_EDITS]
         for tree in trees:
             asked = [(k, key) for k in missing for key in keys[k] if slips_of(key)]
-            near = tree.within([key for _, key in asked], [min(most, 2 * slips_of(key) - 1) for _, key in asked])
+            near = tree.within([key for _, key in asked], [min(reach[k], 2 * slips_of(key)) for k, key in asked])
             for (k, key), hits in zip(asked, near):
                 for _, node in hits:
                     if (n := admissible(key, tree.keys[node], tree.general)) is not None:
