@@ -1,7 +1,6 @@
 """Template residue, filler, error messages and script notices.
 
-Texts that have none of the words which the rules need are passed over. Every other document is
-cut into units (lines and sentences). Numbers, addresses, dates and identifiers in a
+Every document is cut into units (lines and sentences). Numbers, addresses, dates and identifiers in a
 unit are masked and the exact hashes of the masked units are grouped across documents and sources.
 Phrase rules class a unit as error message, script notice or filler; a widely recurring unit that
 no rule claims is page furniture (navigation, notices of rights), which says nothing about the
@@ -19,6 +18,8 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,7 @@ from ..session import durable, widen
 
 #: Share of a document's letters from which classed units are its main content.
 MAIN_SHARE = 0.5
-#: A unit is wide if suspected documents that have it make up this share of all documents, and are
-#: WIDE_LEAST at least.
+#: A unit is wide if this share of all documents, and at least WIDE_LEAST of them, have it.
 WIDE_SHARE, WIDE_LEAST = 0.0002, 3
 #: Longest unit that can be furniture.
 FURNITURE_CHARS = 80
@@ -101,24 +101,37 @@ FILLERS = [
 ]
 
 
-#: Words and shapes without which no unit is classed by the rules above; texts that have none of
-#: them are not looked at further.
-TRIGGER = (
-    r"\b(?:found|exists?|displayed|shown|reached|opened|loaded|unavailable|available|(?:has|have|been) moved|deleted|removed|down|forbidden|gone|gateway|bad request|unauthori[sz]ed|"
-    r"not allowed|time-?out|error|status|request|denied|permission|access|expired|timed out|log ?in|back soon|went wrong|server|unable|traceback|exception|fault|panic|warning:|notice:|fatal|"
-    r"refused|reset|upstream|retry|giving up|stack trace|core dumped|uncaught|too many|slow down|establishing|serverfehler|gefunden|verweigert|angeforderte|fehler|dienst|versuchen|"
-    r"berechtig\w*|zugriffsrechte|introuvable|erreur|acc.s|demand.e|indisponible|r.essayer|droits?|l'autorisation|encontrada|denegado|solicitada|busca|disponible|int.ntelo|permisos?|autorizaci.n|"
-    r"java ?script|js|scripts?|scripting|cookies|browser|it (?:and|in|to) (?:reload|your|run|view|continue|use|see)|goes? (?:here|in this)|sample|dummy|placeholder|"
-    r"filler|example|test|replace this|section|add an?|overwrite|ignore this|(?:sub)?heading|bullet|(?:item|paragraph) (?:one|two|three|\d)|blindtext|platzhalter|remplissage|factice|relleno|"
-    r"ejemplo|coming|construction|content|" + "|".join(w for w in (LOREM + " " + MASH).split() if len(w) > 3) + r")\b"
-    r"|(?:error|exception|fault)\b|\bat [\w.$]+\(|\b(\w++(?:\W++\w++){0,2})(?:\W++\1\b){2,}"
-)
-
-
 def _any(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern outside of all brackets."""
+    out, depth, at = [""], 0, 0
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            c = pattern[at : at + 2]
+        elif c == "[":
+            c = re.match(r"\[\^?\]?(?:\\.|[^\]\\])*\]", pattern[at:]).group()
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+        at += len(c)
+    return out
+
+
+def matches(unit: Column, patterns: list[str]) -> Column:
+    """Whether any of the patterns is in the unit. Those that can only match at its beginning are one
+    pattern that is tried there alone."""
+    parts = [a for p in patterns for a in _alternatives(p)]
+    inside = [a for a in parts if a[0] != "^"]
+    begins = unit.rlike(f"^(?:{_any([a[1:] for a in parts if a[0] == '^'])})")
+    return begins | unit.rlike(_any(inside)) if inside else begins
+
+
 def masked(unit: Column) -> Column:
     """The unit in lower case without markup, with numbers, dates, addresses and identifiers as #."""
     out = F.regexp_replace(unit, r"</?[A-Za-z][^<>]{0,80}>", " ")
@@ -133,31 +146,29 @@ def masked(unit: Column) -> Column:
 def unit_kind(unit: Column) -> Column:
     """error, script, filler, follow or null for a masked unit."""
     words = F.regexp_count(unit, F.lit(r"[^\s#]+"))
-    filler = F.regexp_count(unit, F.lit(rf"(?<![\p{{L}}])(?:{LOREM.replace(' ', '|')}|{MASH.replace(' ', '|')})(?![\p{{L}}])"))
     tokens = F.filter(F.split(unit, r"[^\p{L}]+"), lambda w: w != "")
+    filler = F.size(F.filter(tokens, lambda w: w.isin(*f"{LOREM} {MASH}".split())))
     return (
-        F.when(unit.rlike(_any(ERRORS)), "error")
-        .when(unit.rlike(_any(SCRIPTS)), "script")
-        .when(unit.rlike(_any(FILLERS)), "filler")
+        F.when(matches(unit, ERRORS), "error")
+        .when(matches(unit, SCRIPTS), "script")
+        .when(matches(unit, FILLERS), "filler")
         .when((words >= FILLER_WORDS) & (filler >= FILLER_SHARE * words), "filler")
         .when((words >= 6) & (F.size(F.array_distinct(tokens)) * 4 <= F.size(tokens)), "filler")
-        .when(unit.rlike(_any(FOLLOW_UPS)), "follow")
+        .when(matches(unit, FOLLOW_UPS), "follow")
     )
 
 
-def _units(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, at, unit): masked units of the suspected texts, blank ones left out."""
-    parts = F.split(F.col("text"), r"[\r\n\x0b\x0c  ]+|(?<=[.!?])[ \t]+|</(?:title|h1|p)>")
-    rows = docs.filter("suspected").select("doc_id", "source", F.posexplode(parts).alias("at", "part"))
-    return rows.select("doc_id", "source", "at", masked(F.col("part")).alias("unit")).filter("unit <> ''")
+def _units(text: Column) -> Column:
+    """Masked units of a text with their places (at, unit), blank ones left out."""
+    parts = F.split(text, r"[\r\n\x0b\x0c  ]+|(?<=[.!?])[ \t]+|</(?:title|h1|p)>")
+    return F.filter(F.transform(parts, lambda part, at: F.struct(at.alias("at"), masked(part).alias("unit"))), lambda u: u["unit"] != "")
 
 
-def wide_units(units: DataFrame, n_docs: int) -> DataFrame:
+def wide_units(docs: DataFrame, n_docs: int) -> DataFrame:
     """(hash) of units that recur widely: in WIDE_SHARE of all documents and in several sources, or
-    where a document names no source. Counts are partial before the shuffle, so a unit of a third of all
-    documents costs one row a task."""
-    short = units.filter(F.length("unit") <= FURNITURE_CHARS).select(F.xxhash64("unit").alias("hash"), "source")
-    by_source = short.groupBy("hash", "source").count()
+    where a document names no source. ``docs``: (source, hashes of the units). Counts are partial before
+    the shuffle, so a unit of a third of all documents costs one row a task."""
+    by_source = docs.select("source", F.explode("hashes").alias("hash")).groupBy("hash", "source").count()
     both = by_source.groupBy("hash").agg(F.sum("count").alias("n"), F.count("*").alias("sources"))
     return both.filter(F.col("n") >= max(WIDE_LEAST, WIDE_SHARE * n_docs)).filter("sources > 1").select("hash")
 
@@ -165,15 +176,16 @@ def wide_units(units: DataFrame, n_docs: int) -> DataFrame:
 def residue_report(docs: DataFrame) -> DataFrame:
     """(doc_id, placeholder, kind, share) of every document with any sign of residue: whether it
     holds a placeholder, its main kind of classed unit, and the share of its letters in them."""
-    flagged = widen(docs.filter("text is not null").select("doc_id", "source", "text")).select(
-        "doc_id", "source", "text", F.lower("text").rlike(TRIGGER).alias("suspected"), F.col("text").rlike(_any(PLACEHOLDERS)).alias("placeholder")
-    )
-    # every text is read and searched once; what is left is a small part of them
-    some = durable(flagged.filter("suspected or placeholder"))
-    units = _units(some)
-    wide = wide_units(units, docs.count())
-    kinds = units.withColumn("kind", unit_kind(F.col("unit"))).withColumn("hash", F.xxhash64("unit"))
-    judged = kinds.join(F.broadcast(wide.withColumn("wide", F.lit(True))), "hash", "left")
+    texts = widen(docs.filter("text is not null").select("doc_id", "source", "text"))
+    cut = texts.select("doc_id", "source", F.col("text").rlike(_any(PLACEHOLDERS)).alias("placeholder"), _units(F.col("text")).alias("units"))
+    classed = cut.select("*", F.transform("units", lambda u: unit_kind(u["unit"])).alias("kinds"))
+    short = F.transform(F.filter("units", lambda u: F.length(u["unit"]) <= FURNITURE_CHARS), lambda u: F.xxhash64(u["unit"]))
+    some = F.exists("kinds", lambda k: k.isin("error", "script", "filler"))
+    # every text is read, cut and classed once; what stays is the hashes of all units and the units of the few with residue
+    kept = durable(classed.select("doc_id", "source", "placeholder", short.alias("hashes"), F.when(some, F.arrays_zip("units", "kinds")).alias("units")))
+    wide = wide_units(kept, docs.count())
+    units = kept.filter("units is not null").select("doc_id", F.explode("units").alias("x")).select("doc_id", "x.units.at", "x.units.unit", F.col("x.kinds").alias("kind"))
+    judged = units.withColumn("hash", F.xxhash64("unit")).join(F.broadcast(wide.withColumn("wide", F.lit(True))), "hash", "left")
     title = (F.col("at") <= 3) & (F.length("unit") <= FURNITURE_CHARS) & ~F.col("unit").rlike(r"[.!?;:]$")
     furniture = F.coalesce("wide", F.lit(False)) | F.col("unit").rlike(r"^(?:©|\(c\)) |^[^|.]{1,30}( \| [^|.]{1,30}){2,}$|^skip to (?:main )?content$")
     size = F.length(F.regexp_replace("unit", r"[^\p{L}\p{N}#]+", "")).cast("long")
@@ -189,7 +201,7 @@ def residue_report(docs: DataFrame) -> DataFrame:
         F.max(F.when(F.col("role") == "residue", F.struct("n", "kind")))["kind"].alias("kind"),
     )
     shares = sums.filter("residue > 0").select("doc_id", "kind", (F.col("residue") / (F.col("residue") + F.col("sound"))).alias("share"))
-    holders = some.filter("placeholder").select("doc_id", "placeholder")
+    holders = kept.filter("placeholder").select("doc_id", "placeholder")
     both = holders.join(shares, "doc_id", "full")
     return both.select("doc_id", F.coalesce("placeholder", F.lit(False)).alias("placeholder"), "kind", F.coalesce("share", F.lit(0.0)).alias("share"))
 
