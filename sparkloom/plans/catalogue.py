@@ -134,14 +134,14 @@ def safe_ids(s, d):
 @query
 def truncated_texts(s, d):
     """At 64 words."""
-    t = T(s, d, "chunks").filter(F.col("text").rlike(r"^\p{ASCII}*$"))
+    t = T(s, d, "chunks")
     return t.select("chunk_row", F.md5(S.truncate_words(F.col("text"), 64)).alias("digest"), S.word_count(F.col("text")).cast("long").alias("n_words"))
 
 
 @query
 def parsed_answers(s, d):
     """S9."""
-    p = T(s, d, "predictions").filter(F.col("raw_response").rlike(r"^\p{ASCII}*$"))
+    p = T(s, d, "predictions")
     return p.select("pred_id", S.parse_answer(F.col("raw_response")).alias("parsed"))
 
 
