@@ -166,9 +166,10 @@ def _units(text: Column) -> Column:
 
 def wide_units(docs: DataFrame, n_docs: int) -> DataFrame:
     """(hash) of units that recur widely: in WIDE_SHARE of all documents and in several sources, or
-    where a document names no source. ``docs``: (source, hashes of the units). Counts are partial before
-    the shuffle, so a unit of a third of all documents costs one row a task."""
-    by_source = docs.select("source", F.explode("hashes").alias("hash")).groupBy("hash", "source").count()
+    where a document names no source. ``docs``: (source, hashes of the units) of all documents. A document
+    counts once, however often it has the unit. Counts are partial before the shuffle, so a unit of a
+    third of all documents costs one row a task."""
+    by_source = docs.select("source", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("hash", "source").count()
     both = by_source.groupBy("hash").agg(F.sum("count").alias("n"), F.count("*").alias("sources"))
     return both.filter(F.col("n") >= max(WIDE_LEAST, WIDE_SHARE * n_docs)).filter("sources > 1").select("hash")
 

@@ -30,3 +30,23 @@ def test_rules_are_the_same_in_parts(spark):
 @pytest.mark.parametrize("pattern, parts", [("a|b", ["a", "b"]), (r"^a(?:b|c)|[|)]x|\||d", ["^a(?:b|c)", "[|)]x", r"\|", "d"])])
 def test_alternatives(pattern, parts):
     assert residue._alternatives(pattern) == parts
+
+
+MENU = [f"Browse our {x} by name and by year;" for x in ("painters", "letters", "towns", "schools", "maps", "museums", "theatres", "orchards")]
+
+
+def test_furniture_is_counted_over_all_documents(spark):
+    """An error page's menu that sound documents share says nothing about it."""
+    sound = [(k, "\n".join([*MENU, f"Anna Berg{k} founded the society in Lund and held forty letters by the painter."]), f"s{k % 2}") for k in range(12)]
+    rows = spark.createDataFrame([*sound, (99, "\n".join([*MENU, "Nothing was found at this location."]), "s0")], DOCS)
+    assert [r.doc_id for r in residue.residue_docs(rows).collect()] == [99]
+
+
+def test_a_document_counts_once(spark):
+    """A line is no furniture because a few documents repeat it."""
+    line = "Our reading room in the old mill keeps its own hours in the winter."
+    rows = spark.createDataFrame([(1, "\n".join([*[line] * 5, "Nothing was found at this location."]), "s0"), (2, f"{line}\nNothing was found at this location.", "s1")], DOCS)
+    shares = {r.doc_id: r["share"] for r in residue.residue_report(rows).collect()}
+    assert 0 < shares[1] < residue.MAIN_SHARE
+    hashes = spark.createDataFrame([("s0", [7, 7, 7]), ("s1", [7, 8]), ("s0", [8]), ("s1", [8])], "source string, hashes array<long>")
+    assert [r["hash"] for r in residue.wide_units(hashes, 4).collect()] == [8]
