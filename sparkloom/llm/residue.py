@@ -1,36 +1,44 @@
 """Template residue, filler, error messages and script notices.
 
-Every document is cut into units (lines and sentences). Numbers, addresses, dates and identifiers in a
-unit are masked and the exact hashes of the masked units are grouped across documents and sources.
-Phrase rules class a unit as error message, script notice or filler; a widely recurring unit that
-no rule claims is page furniture (navigation, notices of rights), which says nothing about the
-document. Placeholder rules look at the whole raw text. A document is residue if it holds an
-unfilled placeholder, or if at least ``MAIN_SHARE`` of its letters, furniture and a leading title
-apart, belong to classed units.
+Every document is cut into units (lines and sentences), in which addresses, dates, numbers and identifiers
+are masked. The exact hashes of the masked units are grouped over all documents and sources, so that a
+message is one group however often it was served and whatever it was served with. Each group is
+classed once by phrase rules as error message, script notice or filler, and the classes go back to
+the documents by hash. What recurs widely (in ``WIDE_DOCS`` documents of several sources) counts for
+more: a recurring follow-up of a message ("please try again") is a message of its own, and a short
+recurring unit that no rule claims is page furniture (navigation, notices of rights), which says nothing
+about its document. A unit that stands in one document only is classed by the same rules.
 
-What is broadcast is bounded: a unit is wide only if ``WIDE_SHARE`` of all documents have it, so
-there are at most (units per document) / ``WIDE_SHARE`` of them at any corpus size.
+Placeholder rules look at the whole raw text. A document is residue if it holds an unfilled placeholder, or
+if at least ``MAIN_SHARE`` of its letters, furniture and a leading title apart, are in classed units.
+
+Counts leave each task as one row a message. Of the classes only those that more than ``HOT_SHARE`` of all
+documents have are broadcast, at most (units per document) / ``HOT_SHARE`` of them at any corpus size; the
+others are joined by hash, where no key then has more than that share of the documents.
 
 Defined results: null, empty and blank texts are no residue (they hold nothing); a document whose
-units are all furniture is none either; repeated texts are judged alike; an empty table gives an
-empty result; other columns are ignored.
+units are all furniture is none either; repeated texts are judged alike; a null source is a source; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable, widen
+from ..session import widen, written
 
 #: Share of a document's letters from which classed units are its main content.
 MAIN_SHARE = 0.5
-#: A unit is wide if this share of all documents, and at least WIDE_LEAST of them, have it.
-WIDE_SHARE, WIDE_LEAST = 0.0002, 3
-#: Longest unit that can be furniture.
+#: A message recurs widely if it stands in so many documents, of more than one source.
+WIDE_DOCS = 10
+#: A longer unit is running text and no furniture, however often it recurs.
 FURNITURE_CHARS = 80
+#: Classes of messages in more than this share of all documents are broadcast.
+HOT_SHARE = 0.001
 
 _ID = r"[A-Za-z][A-Za-z0-9_.-]*(?: [A-Za-z][A-Za-z0-9_.-]*){0,3}"
 _FIELD = (
@@ -40,21 +48,30 @@ _FIELD = (
 )
 #: A field's name in any usual spelling; a capitalised word only if it is a usual field.
 _FIELD_ID = rf"(?:[a-z]+(?:[_ ][a-z]+)*|[A-Z]{{2,}}(?:[_ ][A-Z]+)*|[A-Z][a-z]+(?:[A-Z][a-z]+)+|(?i:{_FIELD}))"
+#: Placeholder rules by a sign that every form of the rule contains; a rule is tried only where its sign stands.
 PLACEHOLDERS = [
-    rf"\{{\{{\{{?\s*(?:[#/^>!&]\s*)?(?:(?:if|unless|each|with) )?{_ID}\s*(?:\|[^{{}}]{{0,40}})?\}}\}}",
-    r"\{%[-+]?\s*[a-z]+\b[^%{}]{0,60}%\}",
-    r"<%[=-]?[^%<>]{1,60}%>",
-    rf"[$#]\{{\s*{_ID}\s*\}}",
-    rf"(?<![{{$#%\w\\])\{{{_ID}\}}(?!\}})",
-    rf"%\({_ID}\)[sdif]",
-    rf"(?<![\d%])%{_ID}%(?![\w%])",
-    rf"@@{_ID}@@|~~{_ID}~~|\$\${_ID}\$\$|<<{_ID}>>|\[\[\[{_ID}\]\]\]|\bXX_{_ID}_XX\b",
-    rf"(?<![\w_])__{_FIELD_ID}__(?![\w_])",
-    r"\[(?i:insert|enter|add)\b[^\[\]]{1,60}\]|\[(?i:your)\s[^\[\]]{1,40}\s(?i:here)\]",
-    r"\[[^\[\]]{1,40}\s(?i:to be added|to be announced|to be confirmed|goes here|placeholder|tbd|tba)\]",
-    r"<(?i:enter|insert|your)\s[^<>]{1,40}>",
-    rf"&lt;(?!(?i:b|i|u|p|a|br|em|strong|div|span|ref|sup|sub|ul|ol|li|table|tr|td|th|h[1-6]|img|code|pre|html|head|body|script|noscript|blockquote)&gt;)(?:(?i:enter |insert |your ))?{_FIELD_ID}&gt;",
-    r"<(?:[A-Z]{2,}(?:_[A-Z]+)*|[a-z]+(?:_[a-z]+)+|[A-Z][a-z]+(?:[A-Z][a-z]+)+)>",
+    ("{", rf"\{{\{{\{{?\s*(?:[#/^>!&]\s*)?(?:(?:if|unless|each|with) )?{_ID}\s*(?:\|[^{{}}]{{0,40}})?\}}\}}"),
+    ("{%", r"\{%[-+]?\s*[a-z]+\b[^%{}]{0,60}%\}"),
+    ("<%", r"<%[=-]?[^%<>]{1,60}%>"),
+    ("{", rf"[$#]\{{\s*{_ID}\s*\}}"),
+    ("{", rf"(?<![{{$#%\w\\])\{{{_ID}\}}(?!\}})"),
+    ("%(", rf"%\({_ID}\)[sdif]"),
+    ("%", rf"(?<![\d%])%{_ID}%(?![\w%])"),
+    ("@@", rf"@@{_ID}@@"),
+    ("~~", rf"~~{_ID}~~"),
+    ("$$", rf"\$\${_ID}\$\$"),
+    ("<<", rf"<<{_ID}>>"),
+    ("[[[", rf"\[\[\[{_ID}\]\]\]"),
+    ("XX_", rf"\bXX_{_ID}_XX\b"),
+    ("__", rf"(?<![\w_])__{_FIELD_ID}__(?![\w_])"),
+    ("[", r"\[(?i:insert|enter|add)\b[^\[\]]{1,60}\]|\[(?i:your)\s[^\[\]]{1,40}\s(?i:here)\]"),
+    ("[", r"\[[^\[\]]{1,40}\s(?i:to be added|to be announced|to be confirmed|goes here|placeholder|tbd|tba)\]"),
+    ("<", r"<(?i:enter|insert|your)\s[^<>]{1,40}>"),
+    ("&lt;", rf"&lt;(?!(?i:b|i|u|p|a|br|em|strong|div|span|ref|sup|sub|ul|ol|li|table|tr|td|th|h[1-6]|img|code|pre|html|head|body|script|noscript|blockquote)&gt;)(?:(?i:enter |insert |your ))?{_FIELD_ID}&gt;"),
+    ("<", r"<(?:[A-Z]{2,}(?:_[A-Z]+)*|[a-z]+(?:_[a-z]+)+|[A-Z][a-z]+(?:[A-Z][a-z]+)+)>"),
+    ("TB", r"[(\[]\s*TB[ADC]\b[^()\[\]]{0,60}[)\]]|\bTB[ADC]\s*:"),
+    ("TODO", r"\bTODO\b[:\s]\s*(?:(?i:fill|add|insert|complete|replace|write|enter|put|supply)\b|\w+_\w+)|[(\[]\s*TODO\b[^()\[\]]{0,60}[)\]]"),
+    ("FIXME", r"\bFIXME\b"),
 ]
 
 _THING = r"(?:page|entry|url|link|site|website|content|resource|document|file|address|article|location|server|service|request)"
@@ -105,6 +122,22 @@ def _any(patterns: list[str]) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def has_placeholder(text: Column) -> Column:
+    """Whether a raw text holds an unfilled placeholder."""
+    by_sign: dict[str, list[str]] = {}
+    for sign, pattern in PLACEHOLDERS:
+        by_sign.setdefault(sign, []).append(pattern)
+    out = F.lit(False)
+    for sign, patterns in by_sign.items():
+        out = out | (F.contains(text, F.lit(sign)) & text.rlike(_any(patterns)))
+    return out
+
+
 def _alternatives(pattern: str) -> list[str]:
     """The alternatives of a pattern outside of all brackets."""
     out, depth, at = [""], 0, 0
@@ -123,88 +156,130 @@ def _alternatives(pattern: str) -> list[str]:
     return out
 
 
+#: For rules that may match anywhere: how the rule begins, and words of which every match holds one.
+WORDS_OF = {
+    r"\b(?:page": ("found", "exist", "displayed", "reached", "opened", "loaded", "available", "moved", "deleted", "removed", "down"),
+    r"\b(?:title": (" go",),
+    r"\"status": ('"status"',),
+    r"\"error": ('"error"',),
+    r"\buncaught": ("uncaught",),
+    r"connection": ("connection",),
+    r"\bplease overwrite": ("please overwrite",),
+    r"\bplease ignore": ("please ignore",),
+    r"unable to complete": ("unable to complete",),
+}
+
+
 def matches(unit: Column, patterns: list[str]) -> Column:
     """Whether any of the patterns is in the unit. Those that can only match at its beginning are one
-    pattern that is tried there alone."""
+    pattern that is tried there alone; of the others each is tried where a word stands that it needs."""
     parts = [a for p in patterns for a in _alternatives(p)]
-    inside = [a for a in parts if a[0] != "^"]
-    begins = unit.rlike(f"^(?:{_any([a[1:] for a in parts if a[0] == '^'])})")
-    return begins | unit.rlike(_any(inside)) if inside else begins
+    out = unit.rlike(f"^(?:{_any([a[1:] for a in parts if a[0] == '^'])})")
+    for a in (a for a in parts if a[0] != "^"):
+        held = F.lit(False)
+        for word in next((words for start, words in WORDS_OF.items() if a.startswith(start)), ("",)):
+            held = held | F.contains(unit, F.lit(word))
+        out = out | (held & unit.rlike(a))
+    return out
+
 
+_LINES = r"\r\n\x0b\x0c\u0085\u2028\u2029"
 
-def masked(unit: Column) -> Column:
-    """The unit in lower case without markup, with numbers, dates, addresses and identifiers as #."""
-    out = F.regexp_replace(unit, r"</?[A-Za-z][^<>]{0,80}>", " ")
-    out = F.regexp_replace(out, r"&(?:nbsp|#160|#9);", " ")
-    out = F.regexp_replace(F.regexp_replace(out, r"&(?:quot|#34);", '"'), r"&(?:#39|#x27|apos);|’", "'")
-    out = F.lower(F.regexp_replace(out, r"(?U)[\s\x1c-\x1f]+", " "))
-    out = F.regexp_replace(out, r"\bhttps?://\S+|\bwww\.\S+|\b[\w.+-]+@[\w-]+\.[a-z]{2,}\b", "#")
-    out = F.regexp_replace(out, r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b", "#")
-    return F.trim(F.regexp_replace(out, r"\d+", "#"))
+
+def _masked(text: Column) -> Column:
+    """A text in lower case without markup, its addresses, dates, numbers and identifiers as #; lines
+    stay, other white space is one blank."""
+    when = lambda sign, f: lambda x: F.when(F.contains(x, F.lit(sign)), f(x)).otherwise(x)
+    replace = lambda pattern, by: lambda x: F.regexp_replace(x, pattern, by)
+    out = _let(text, when("</", replace(r"</(?:title|h1|p)>", "\n")))
+    out = _let(out, when("<", replace(r"</?[A-Za-z][^<>]{0,80}>", " ")))
+    entities = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"&(?:nbsp|#160|#9);", " "), r"&(?:quot|#34);", '"'), r"&(?:#39|#x27|apos);", "'")
+    out = _let(out, when("&", entities))
+    out = _let(out, when("’", lambda x: F.replace(x, F.lit("’"), F.lit("'"))))
+    out = F.lower(F.regexp_replace(out, rf"(?U)[\s\x1c-\x1f&&[^{_LINES}]]+", " "))
+    addresses = r"\bhttps?://\S*[^\s.!?]|\bwww\.\S*[^\s.!?]|\b[\w.+-]+@[\w-]+\.[a-z]{2,}\b"
+    signs = lambda x: F.contains(x, F.lit("@")) | F.contains(x, F.lit("://")) | F.contains(x, F.lit("www."))
+    out = _let(out, lambda x: F.when(signs(x), F.regexp_replace(x, addresses, "#")).otherwise(x))
+    return F.regexp_replace(out, r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b(?=[a-f]*\d)[0-9a-f]{6,}\b|\d+", "#")
+
+
+def units(text: Column) -> Column:
+    """Masked units of a text with their places (at, unit), blank ones left out."""
+    parts = F.split(_masked(text), rf"[{_LINES}]+|(?<=[.!?]) ")
+    return F.filter(F.transform(parts, lambda part, at: F.struct(at.alias("at"), F.trim(part).alias("unit"))), lambda u: u["unit"] != "")
 
 
 def unit_kind(unit: Column) -> Column:
     """error, script, filler, follow or null for a masked unit."""
-    words = F.regexp_count(unit, F.lit(r"[^\s#]+"))
-    tokens = F.filter(F.split(unit, r"[^\p{L}]+"), lambda w: w != "")
-    filler = F.size(F.filter(tokens, lambda w: w.isin(*f"{LOREM} {MASH}".split())))
+
+    def filler(tokens: Column) -> Column:
+        rolled = F.size(F.filter(tokens, lambda w: w.isin(*f"{LOREM} {MASH}".split())))
+        repeated = (F.size(tokens) >= 6) & (F.size(F.array_distinct(tokens)) * 4 <= F.size(tokens))
+        return (F.size(tokens) >= FILLER_WORDS) & (rolled >= FILLER_SHARE * F.size(tokens)) | repeated
+
+    signs = ".,;:!?()[]{}<>\"'#/|*_-–—"
+    tokens = F.filter(F.split(F.translate(unit, signs, " " * len(signs)), " "), lambda w: w != "")
     return (
         F.when(matches(unit, ERRORS), "error")
         .when(matches(unit, SCRIPTS), "script")
         .when(matches(unit, FILLERS), "filler")
-        .when((words >= FILLER_WORDS) & (filler >= FILLER_SHARE * words), "filler")
-        .when((words >= 6) & (F.size(F.array_distinct(tokens)) * 4 <= F.size(tokens)), "filler")
+        .when(_let(tokens, filler), "filler")
         .when(matches(unit, FOLLOW_UPS), "follow")
     )
 
 
-def _units(text: Column) -> Column:
-    """Masked units of a text with their places (at, unit), blank ones left out."""
-    parts = F.split(text, r"[\r\n\x0b\x0c  ]+|(?<=[.!?])[ \t]+|</(?:title|h1|p)>")
-    return F.filter(F.transform(parts, lambda part, at: F.struct(at.alias("at"), masked(part).alias("unit"))), lambda u: u["unit"] != "")
+def messages(docs: DataFrame) -> DataFrame:
+    """(hash, size, unit, n_docs, wide) of every different masked unit. ``docs``: (source, units), units being
+    array<struct<hash, size, unit>>, of all documents. A document counts once, however often it has
+    the unit."""
+    each = docs.select(F.xxhash64("source").alias("source"), F.explode(F.array_distinct("units")).alias("x"))
+    counted = each.select("source", "x.hash", "x.size", "x.unit").groupBy("hash", "size", "unit").agg(
+        F.count("*").alias("n_docs"), F.min("source").alias("low"), F.max("source").alias("high")
+    )
+    return counted.select("hash", "size", "unit", "n_docs", ((F.col("n_docs") >= WIDE_DOCS) & (F.col("low") < F.col("high"))).alias("wide"))
 
 
-def wide_units(docs: DataFrame, n_docs: int) -> DataFrame:
-    """(hash) of units that recur widely: in WIDE_SHARE of all documents and in several sources, or
-    where a document names no source. ``docs``: (source, hashes of the units) of all documents. A document
-    counts once, however often it has the unit. Counts are partial before the shuffle, so a unit of a
-    third of all documents costs one row a task."""
-    by_source = docs.select("source", F.explode(F.array_distinct("hashes")).alias("hash")).groupBy("hash", "source").count()
-    both = by_source.groupBy("hash").agg(F.sum("count").alias("n"), F.count("*").alias("sources"))
-    return both.filter(F.col("n") >= max(WIDE_LEAST, WIDE_SHARE * n_docs)).filter("sources > 1").select("hash")
+def message_classes(found: DataFrame) -> DataFrame:
+    """(hash, size, kind, n_docs) of the messages that say something: residue, a follow-up, furniture."""
+    bar = F.col("unit").rlike(r"^(?:©|\(c\)) |^[^|.]{1,30}( \| [^|.]{1,30}){2,}$|^skip to (?:main )?content$")
+    furniture = bar | (F.col("wide") & (F.length("unit") <= FURNITURE_CHARS))
+    classed = found.withColumn("kind", F.coalesce(unit_kind(F.col("unit")), F.when(furniture, "furniture"))).filter("kind is not null")
+    return classed.select("hash", "size", F.when((F.col("kind") == "follow") & F.col("wide"), "error").otherwise(F.col("kind")).alias("kind"), "n_docs")
 
 
 def residue_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, placeholder, kind, share) of every document with any sign of residue: whether it
-    holds a placeholder, its main kind of classed unit, and the share of its letters in them."""
+    """(doc_id, placeholder, kind, share, message_docs) of every document with any sign of residue: whether it
+    holds a placeholder, its main kind of message, the share of its letters in messages, and the
+    number of documents that have its main message."""
     texts = widen(docs.filter("text is not null").select("doc_id", "source", "text"))
-    cut = texts.select("doc_id", "source", F.col("text").rlike(_any(PLACEHOLDERS)).alias("placeholder"), _units(F.col("text")).alias("units"))
-    classed = cut.select("*", F.transform("units", lambda u: unit_kind(u["unit"])).alias("kinds"))
-    short = F.transform(F.filter("units", lambda u: F.length(u["unit"]) <= FURNITURE_CHARS), lambda u: F.xxhash64(u["unit"]))
-    some = F.exists("kinds", lambda k: k.isin("error", "script", "filler"))
-    # every text is read, cut and classed once; what stays is the hashes of all units and the units of the few with residue
-    kept = durable(classed.select("doc_id", "source", "placeholder", short.alias("hashes"), F.when(some, F.arrays_zip("units", "kinds")).alias("units")))
-    wide = wide_units(kept, docs.count())
-    units = kept.filter("units is not null").select("doc_id", F.explode("units").alias("x")).select("doc_id", "x.units.at", "x.units.unit", F.col("x.kinds").alias("kind"))
-    judged = units.withColumn("hash", F.xxhash64("unit")).join(F.broadcast(wide.withColumn("wide", F.lit(True))), "hash", "left")
-    title = (F.col("at") <= 3) & (F.length("unit") <= FURNITURE_CHARS) & ~F.col("unit").rlike(r"[.!?;:]$")
-    furniture = F.coalesce("wide", F.lit(False)) | F.col("unit").rlike(r"^(?:©|\(c\)) |^[^|.]{1,30}( \| [^|.]{1,30}){2,}$|^skip to (?:main )?content$")
-    size = F.length(F.regexp_replace("unit", r"[^\p{L}\p{N}#]+", "")).cast("long")
-    role = (
-        F.when(F.col("kind").isin("error", "script", "filler"), "residue")
-        .when(F.col("kind") == "follow", "follow")
-        .when(furniture | title, "furniture")
-        .otherwise("sound")
-    )
-    sums = judged.select("doc_id", "kind", size.alias("n"), role.alias("role")).groupBy("doc_id").agg(
-        F.sum(F.when(F.col("role") == "residue", F.col("n")).otherwise(0)).alias("residue"),
-        F.sum(F.when(F.col("role") == "sound", F.col("n")).otherwise(0)).alias("sound"),
-        F.max(F.when(F.col("role") == "residue", F.struct("n", "kind")))["kind"].alias("kind"),
+    cut = texts.select("doc_id", "source", has_placeholder(F.col("text")).alias("placeholder"), F.explode(F.array(units(F.col("text")))).alias("u"))
+    size = lambda u: F.length(F.regexp_replace(u["unit"], r"[^\p{L}\p{N}#]+", ""))
+    title = lambda u: (u["at"] <= 3) & (F.length(u["unit"]) <= FURNITURE_CHARS) & ~u["unit"].rlike(r"[.!?;:]$")
+    numbers = F.transform("u", lambda u: F.struct(F.xxhash64(u["unit"]).alias("hash"), size(u).alias("size")))
+    # every text is read and cut once; what it holds is in columns, of which later jobs read what they need
+    kept = written(cut.select("doc_id", "source", "placeholder", F.transform("u", lambda u: u["unit"]).alias("texts"), numbers.alias("numbers"), F.transform("u", title).alias("titles")))
+    listed = kept.select("source", F.zip_with("numbers", "texts", lambda n, t: F.struct(n["hash"].alias("hash"), n["size"].alias("size"), t.alias("unit"))).alias("units"))
+    classes = written(message_classes(messages(listed)))
+    most = max(1, int(kept.count() * HOT_SHARE))
+    as_one = lambda some, name: some.select("hash", "size", F.struct("kind", "n_docs").alias(name))
+    hot = as_one(classes.filter(F.col("n_docs") > most), "hot")
+    rest = as_one(classes.filter(F.col("n_docs") <= most), "rest").withColumnRenamed("hash", "key").withColumn("open", F.lit(True))
+    rows = kept.select("doc_id", F.posexplode(F.arrays_zip("numbers", "titles")).alias("at", "x")).select("doc_id", "at", "x.numbers.hash", "x.numbers.size", F.col("x.titles").alias("title"))
+    placed = rows.join(F.broadcast(hot), ["hash", "size"], "left").withColumn("open", F.col("hot").isNull())
+    # what the hot messages have settled needs no partner any more and is spread evenly
+    keyed = placed.withColumn("key", F.when(F.col("open"), F.col("hash")).otherwise(F.xxhash64("doc_id", "at")))
+    joined = keyed.join(rest, ["key", "size", "open"], "left").select("doc_id", F.col("size").cast("long").alias("n"), "title", F.coalesce("hot", "rest").alias("c"))
+    residue = F.coalesce(F.col("c.kind").isin("error", "script", "filler"), F.lit(False))
+    sums = joined.groupBy("doc_id").agg(
+        F.sum(F.when(residue, F.col("n")).otherwise(0)).alias("residue"),
+        F.sum(F.when(F.col("c").isNull() & ~F.col("title"), F.col("n")).otherwise(0)).alias("sound"),
+        F.max(F.when(residue, F.struct("n", "c"))).alias("main"),
     )
-    shares = sums.filter("residue > 0").select("doc_id", "kind", (F.col("residue") / (F.col("residue") + F.col("sound"))).alias("share"))
+    share = F.col("residue") / (F.col("residue") + F.col("sound"))
+    shares = sums.filter("residue > 0").select("doc_id", F.col("main.c.kind").alias("kind"), share.alias("share"), F.col("main.c.n_docs").alias("message_docs"))
     holders = kept.filter("placeholder").select("doc_id", "placeholder")
     both = holders.join(shares, "doc_id", "full")
-    return both.select("doc_id", F.coalesce("placeholder", F.lit(False)).alias("placeholder"), "kind", F.coalesce("share", F.lit(0.0)).alias("share"))
+    return both.select("doc_id", F.coalesce("placeholder", F.lit(False)).alias("placeholder"), "kind", F.coalesce("share", F.lit(0.0)).alias("share"), "message_docs")
 
 
 def residue_docs(docs: DataFrame, main_share: float = MAIN_SHARE) -> DataFrame:
