@@ -2,14 +2,15 @@
 
 Values and reference names are brought to keys: without accents, in lower case, with abbreviations
 spelled out, without quotes, articles, qualifiers in brackets and the like; "Last, First" also in
-the other order. A BK-tree holds the reference keys under the Levenshtein distance, a true metric,
-so the triangle inequality lets whole branches be passed over and every key within the threshold
-is still found. Trees are searched level by level for all values of a batch at once, the distances
-of a level being computed bit-parallel in machine words. A list of more than ``SHARD_NAMES`` names
-becomes several trees, whose winners are merged.
+the other order. A BK-tree holds the reference keys under the Levenshtein distance, a true metric, so the
+triangle inequality lets whole branches be passed over and every key within the threshold is still
+found. Groups of at most ``LEAF`` keys that are equally far from their parent stay together in one leaf:
+there the letters that two keys do not share, a lower bound of their slips, are counted in machine words
+before any distance is. Distances are bit-parallel, for all values of a batch at once. A list of more
+than ``SHARD_NAMES`` names becomes several trees, whose winners are merged.
 
-The search runs where the triples are read, on the distinct values of each batch and with a cache
-per task: nothing is shuffled, and a value that a third of all rows have costs one search a task.
+Each different value is searched for once, whatever number of rows has it: values are counted
+with partial sums, resolved, and joined back, those of very many rows by broadcast.
 
 Defined results: null and blank values come out nowhere; a value that is letter for letter a
 canonical name is not reported; a value that several entries are equally near to gets the one
@@ -28,23 +29,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Names in one tree.
-SHARD_NAMES = 100_000
+from ..operators.joins import hot_join
+from ..session import written
+
+#: Names in one tree, and in one leaf of it.
+SHARD_NAMES, LEAF = 100_000, 256
 #: One slip (a changed, missing or added letter, or two letters exchanged) for so many characters of
 #: a key, up to MAX_SLIPS; an exchange is two edits of the tree's metric, so its radius is twice that.
 CHARS_PER_SLIP, MAX_SLIPS = 4, 3
-MAX_EDITS = 2 * MAX_SLIPS
 #: Slips stay under this share of the letters of a name's own words; a word that GENERAL_NAMES names
 #: of the list have is a general one.
 OWN_SHARE, GENERAL_NAMES = 0.3, 5
-#: First radius, which holds every entry of one slip and nearly all that is found; the rest is searched
-#: for further off.
-NEAR_EDITS = 2
-#: Pairs whose distances are computed together.
-BLOCK = 16_384
-#: Keys that were looked up and are remembered in a task.
-CACHE = 200_000
+#: Pairs whose distances are computed together, and pairs of a leaf whose letters are.
+BLOCK, LEAF_BLOCK = 16_384, 2_000_000
+#: Distances from which a node's children share one branch; keys over LONG characters stand apart.
+FAR, LONG = 64, 512
 
 #: Fixed list of usual abbreviations.
 ABBREVIATIONS = {
@@ -96,7 +97,7 @@ def keys_of(value: str) -> list[str]:
             out += [f"{tail} {head}", head]
     keys = [_key(t) for t in out]
     # a misspelt article
-    keys += [k.partition(" ")[2] for k in keys if slips(k.partition(" ")[0], "the") == 1]
+    keys += [rest for first, _, rest in (k.partition(" ") for k in keys) if 2 <= len(first) <= 4 and slips(first, "the") == 1]
     return [k for k in dict.fromkeys(keys) if k]
 
 
@@ -116,7 +117,7 @@ def name_keys(name: str, kind: str | None = None) -> list[str]:
 
 
 def levenshtein(a: str, b: str) -> int:
-    """For keys too long for a machine word."""
+    """Of two texts, row by row."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -154,21 +155,56 @@ class Codes:
     """Characters of the reference keys as small numbers; 0 is any other character."""
 
     def __init__(self, keys: list[str]) -> None:
-        self.of = {c: k for k, c in enumerate(sorted({c for key in keys for c in key}), 1)}
-
-    def rows(self, keys: list[str], width: int) -> np.ndarray:
-        out = np.full((len(keys), width), -1, np.int16)
-        for k, key in enumerate(keys):
-            out[k, : len(key)] = [self.of.get(c, 0) for c in key]
+        self.points = np.array(sorted({ord(c) for key in keys for c in key}), np.uint32)
+        self.size = len(self.points) + 1
+        # two bits for each of the first 26 characters' first and second occurrence, the rest in groups
+        common = [c for c, _ in Counter(c for key in keys for c in key).most_common(26)]
+        self.bit = np.zeros(self.size, np.int64)
+        for k, point in enumerate(self.points, 1):
+            c = chr(point)
+            self.bit[k] = 2 * common.index(c) if c in common else 52 + k % 12
+
+    def rows(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Coded characters (-1 behind the end) and lengths."""
+        lengths = np.array([len(k) for k in keys], np.int64)
+        width = max(1, int(lengths.max(initial=1)))
+        points = np.array(keys, f"U{width}").view(np.uint32).reshape(len(keys), width)
+        at = np.searchsorted(self.points, points)
+        known = (at < len(self.points)) & (self.points[np.minimum(at, len(self.points) - 1)] == points)
+        coded = np.where(known, at + 1, 0).astype(np.int16)
+        coded[np.arange(width) >= lengths[:, None]] = -1
+        return coded, lengths
+
+    def bags(self, coded: np.ndarray) -> np.ndarray:
+        """The letters of each key in 64 bits, of which one slip sets or clears at most one each."""
+        out = np.zeros(len(coded), np.uint64)
+        one = np.uint64(1)
+        for column in coded.T:
+            bit = self.bit[np.maximum(column, 0)].astype(np.uint64)
+            here = np.where(column > 0, one << bit, np.uint64(0))
+            again = np.where((column > 0) & (bit < 52), (out & here) << one, np.uint64(0))
+            out |= here | again
         return out
 
+    def masks(self, coded: np.ndarray) -> np.ndarray:
+        """For each key and character the positions where it stands; keys of at most 64 characters."""
+        masks = np.zeros((len(coded), self.size), np.uint64)
+        rows = np.arange(len(coded))
+        for i, column in enumerate(coded.T[:64]):
+            masks[rows, np.maximum(column, 0)] |= np.where(column > 0, np.uint64(1) << np.uint64(i), np.uint64(0))
+        masks[:, 0] = 0
+        return masks
+
 
-def distances(masks: np.ndarray, sizes: np.ndarray, q: np.ndarray, texts: np.ndarray, lengths: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """Levenshtein distances of the pairs (q, t) by Myers' bit vectors (in Hyyrö's form). ``masks``:
-    for each query and character the positions where it stands, ``texts``: coded keys."""
+def distances(masks: np.ndarray, sizes: np.ndarray, q: np.ndarray, texts: np.ndarray, lengths: np.ndarray, t: np.ndarray, exchanges: bool = False) -> np.ndarray:
+    """Levenshtein distances of the pairs (q, t) by Myers' bit vectors (in Hyyrö's form), with an exchange of
+    neighbours as one edit if ``exchanges``. ``masks``: for each query and character the positions
+    where it stands, ``texts``: coded keys."""
     one = np.uint64(1)
     pv = np.full(len(q), ~np.uint64(0))
     mv = np.zeros(len(q), np.uint64)
+    d0 = np.zeros(len(q), np.uint64)
+    before = np.zeros(len(q), np.uint64)
     score = sizes[q].astype(np.int64)
     last = (sizes[q] - 1).astype(np.uint64)
     ends = lengths[t]
@@ -177,29 +213,57 @@ def distances(masks: np.ndarray, sizes: np.ndarray, q: np.ndarray, texts: np.nda
         eq = masks[q, np.maximum(texts[t, j], 0)]
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
-        ph = mv | ~(xh | pv)
-        mh = pv & xh
+        if exchanges:
+            xh |= ((~d0 & eq) << one) & before
+            d0, before = xh | mv, eq
+        ph = mv | ~(xh | pv if not exchanges else d0 | pv)
+        mh = pv & (xh if not exchanges else d0)
         change = ((ph >> last) & one).astype(np.int64) - ((mh >> last) & one).astype(np.int64)
         ph = (ph << one) | one
         mh <<= one
+        v = d0 if exchanges else xv
         if j < shortest:
             score += change
-            pv = mh | ~(xv | ph)
-            mv = ph & xv
+            pv = mh | ~(v | ph)
+            mv = ph & v
         else:
             live = ends > j
             score += np.where(live, change, 0)
-            pv = np.where(live, mh | ~(xv | ph), pv)
-            mv = np.where(live, ph & xv, mv)
+            pv = np.where(live, mh | ~(v | ph), pv)
+            mv = np.where(live, ph & v, mv)
     return score
 
 
+def long_distances(a: np.ndarray, sizes: np.ndarray, q: np.ndarray, texts: np.ndarray, lengths: np.ndarray, t: np.ndarray, exchanges: bool = False) -> np.ndarray:
+    """The same for queries that do not fit a machine word, row by row for all pairs at once. ``a``: coded
+    queries."""
+    width = int(lengths[t].max(initial=0))
+    b = texts[t][:, :width]
+    at = np.arange(width + 1)
+    row = np.broadcast_to(at, (len(q), width + 1)).copy()
+    before = row
+    out = lengths[t].copy()
+    pick = np.arange(len(q))
+    for i in range(int(sizes[q].max(initial=0))):
+        x = a[q, i][:, None]
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        # unknown characters of a query (0) equal none of a key
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (x != b))
+        if exchanges and i:
+            swapped = (x == b[:, :-1]) & (a[q, i - 1][:, None] == b[:, 1:])
+            new[:, 2:] = np.where(swapped, np.minimum(new[:, 2:], before[:, :-2] + 1), new[:, 2:])
+        new = np.minimum.accumulate(new - at, axis=1) + at
+        before, row = row, new
+        done = sizes[q] == i + 1
+        out[done] = row[pick[done], lengths[t][done]]
+    return out
+
+
 class Tree:
     """BK-tree over (key, entity ids)."""
 
-    WORD = 64
-
-    def __init__(self, names: list[tuple[int, str, str | None]]) -> None:
+    def __init__(self, names: list[tuple[int, str, str | None]], leaf: int = LEAF) -> None:
         owners: dict[str, set[int]] = defaultdict(set)
         full = {_key(folded(name)) for _, name, _ in names}
         for entity, name, kind in names:
@@ -214,73 +278,120 @@ class Tree:
         self.exact = {k: n for n, k in enumerate(self.keys)}
         self.names = {entity: name.casefold() for entity, name, _ in names}
         self.listed = {name for _, name, _ in names}
-        self.long = [n for n, k in enumerate(self.keys) if len(k) > self.WORD]
-        short = [n for n, k in enumerate(self.keys) if len(k) <= self.WORD]
+        self.long = [n for n, k in enumerate(self.keys) if len(k) > LONG]
         self.codes = Codes(self.keys)
-        self.texts = self.codes.rows([k[: self.WORD] for k in self.keys], self.WORD)
-        self.lengths = np.array([min(len(k), self.WORD) for k in self.keys], np.int64)
-        self.child = np.full((len(self.keys), self.WORD + 1), -1, np.int32)
-        self.root = short[0] if short else -1
-        self._grow(short[1:])
-
-    def _masks(self, keys: list[str]) -> np.ndarray:
-        masks = np.zeros((len(keys), len(self.codes.of) + 1), np.uint64)
-        for k, key in enumerate(keys):
-            for i, c in enumerate(key):
-                if code := self.codes.of.get(c):
-                    masks[k, code] |= np.uint64(1) << np.uint64(i)
-        return masks
-
-    def _grow(self, nodes: list[int]) -> None:
-        """All nodes go down from the root together, one level at a time; of those that come to
-        the same empty place the first stays."""
-        waiting, at = np.array(nodes, np.int64), np.full(len(nodes), self.root, np.int64)
-        masks = self._masks(self.keys)
-        while len(waiting):
-            d = np.concatenate(
-                [distances(masks, self.lengths, waiting[k : k + 50_000], self.texts, self.lengths, at[k : k + 50_000]) for k in range(0, len(waiting), 50_000)]
-            )
-            empty = self.child[at, d] < 0
-            self.child[at[empty][::-1], d[empty][::-1]] = waiting[empty][::-1]
-            at = self.child[at, d].astype(np.int64)
-            stay = at != waiting
-            waiting, at = waiting[stay], at[stay]
-
-    def within(self, keys: list[str], radii: list[int]) -> list[list[tuple[int, int]]]:
-        """For each key (distance, node) of every node within its radius."""
+        self.texts, self.lengths = self.codes.rows([k[:LONG] for k in self.keys])
+        self.bags = self.codes.bags(self.texts)
+        self.slips = np.array([slips_of(k) for k in self.keys], np.int64)
+        #: Keys of the inner nodes; for each of them and each distance the inner node and the leaf there.
+        self.pivots: list[int] = []
+        self.inner: list[np.ndarray] = []
+        self.leaf: list[np.ndarray] = []
+        self.leaves: list[np.ndarray] = []
+        self._grow(np.array([n for n, k in enumerate(self.keys) if len(k) <= LONG], np.int64), leaf)
+
+    def _grow(self, nodes: np.ndarray, leaf: int) -> None:
+        waiting: list[tuple[np.ndarray, int, int]] = [(nodes, -1, 0)]
+        while waiting:
+            group, parent, label = waiting.pop()
+            short = np.flatnonzero(self.lengths[group] <= 64)
+            if len(group) <= leaf or not len(short):
+                if parent >= 0:
+                    self.leaf[parent][label] = len(self.leaves)
+                self.leaves.append(group)
+                continue
+            pivot = group[short[0]]
+            node = len(self.pivots)
+            self.pivots.append(int(pivot))
+            self.inner.append(np.full(FAR + 1, -1, np.int32))
+            self.leaf.append(np.full(FAR + 1, -1, np.int32))
+            if parent >= 0:
+                self.inner[parent][label] = node
+            others = group[group != pivot]
+            masks = self.codes.masks(self.texts[pivot : pivot + 1])
+            d = np.concatenate([np.empty(0, np.int64)] + [distances(masks, self.lengths[pivot : pivot + 1], np.zeros(len(part), np.int64), self.texts, self.lengths, part) for part in np.array_split(others, len(others) // BLOCK + 1)])
+            for at in np.unique(np.minimum(d, FAR)):
+                part = others[np.minimum(d, FAR) == at]
+                if len(part) > leaf and 20 * len(part) > 19 * len(group):  # a pivot that parts nothing
+                    self.leaf[node][at] = len(self.leaves)
+                    self.leaves.append(part)
+                else:
+                    waiting.append((part, node, int(at)))
+        self.pivots, self.inner, self.leaf = np.array(self.pivots, np.int64), np.array(self.inner).reshape(-1, FAR + 1), np.array(self.leaf).reshape(-1, FAR + 1)
+
+    def within(self, keys: list[str]) -> list[list[tuple[int, int]]]:
+        """For each key (slips, node) of every node with at most as many slips as the shorter of both may
+        have."""
         out: list[list[tuple[int, int]]] = [[] for _ in keys]
-        fits = [k for k, key in enumerate(keys) if 0 < len(key) <= self.WORD]
         for k, key in enumerate(keys):
-            near = self.long if len(key) <= self.WORD else range(len(self.keys))
-            for n in near:
-                if abs(len(self.keys[n]) - len(key)) <= radii[k] and (d := levenshtein(key, self.keys[n])) <= radii[k]:
+            for n in range(len(self.keys)) if len(key) > LONG else self.long:
+                most = min(slips_of(key), int(self.slips[n]))
+                if (d := slips(key, self.keys[n], most)) <= most:
                     out[k].append((d, n))
-        if not fits or self.root < 0:
-            return out
-        sizes = np.array([len(keys[k]) for k in fits], np.int64)
-        radius = np.array([radii[k] for k in fits], np.int64)
-        masks = self._masks([keys[k] for k in fits])
-        q, t = np.arange(len(fits)), np.full(len(fits), self.root, np.int64)
+        for fits in ([k for k, key in enumerate(keys) if 0 < len(key) <= 64], [k for k, key in enumerate(keys) if 64 < len(key) <= LONG]):
+            if fits:
+                for k, d, n in self._search([keys[k] for k in fits]):
+                    out[fits[k]].append((d, n))
+        return out
+
+    def _search(self, keys: list[str]) -> Iterator[tuple[int, int, int]]:
+        coded, sizes = self.codes.rows(keys)
+        allowed = np.array([slips_of(k) for k in keys], np.int64)
+        bags = self.codes.bags(coded)
+        short = int(sizes.max()) <= 64
+        measure, shape = (distances, self.codes.masks(coded)) if short else (long_distances, coded)
+        radius = 2 * allowed  # an exchange is two edits of the metric
         most = int(radius.max())
+        test_q, test_t, leaf_q, leaf_b = [], [], [], []
+        if not len(self.pivots) and self.leaves:  # a list so short that it is one leaf
+            leaf_q.append(np.arange(len(keys)))
+            leaf_b.append(np.zeros(len(keys), np.int64))
+        q = np.arange(len(keys) if len(self.pivots) else 0)
+        t = np.zeros(len(q), np.int64)
         while len(q):
             next_q, next_t = [], []
-            # keys of like length together, in blocks that stay in the processor's cache
-            order = np.argsort(self.lengths[t], kind="stable")
-            q, t = q[order], t[order]
             for s in range(0, len(q), BLOCK):
                 qs, ts = q[s : s + BLOCK], t[s : s + BLOCK]
-                d = distances(masks, sizes, qs, self.texts, self.lengths, ts)
-                for k in np.flatnonzero(d <= radius[qs]):
-                    out[fits[qs[k]]].append((int(d[k]), int(ts[k])))
+                d = measure(shape, sizes, qs, self.texts, self.lengths, self.pivots[ts])
+                near = d <= radius[qs]
+                test_q.append(qs[near])
+                test_t.append(self.pivots[ts[near]])
                 for step in range(-most, most + 1):
-                    label = d + step
-                    able = (abs(step) <= radius[qs]) & (label > 0) & (label <= self.WORD)
-                    below = self.child[ts[able], label[able]]
-                    kept = below >= 0
-                    next_q.append(qs[able][kept])
-                    next_t.append(below[kept].astype(np.int64))
+                    able = (abs(step) <= radius[qs]) & (d + step > 0) & (d + step < FAR)
+                    self._down(qs[able], ts[able], (d + step)[able], next_q, next_t, leaf_q, leaf_b)
+                able = d + radius[qs] >= FAR
+                self._down(qs[able], ts[able], np.full(int(able.sum()), FAR), next_q, next_t, leaf_q, leaf_b)
             q, t = np.concatenate(next_q), np.concatenate(next_t)
-        return out
+        lq, lb = np.concatenate(leaf_q or [np.empty(0, np.int64)]), np.concatenate(leaf_b or [np.empty(0, np.int64)])
+        order = np.argsort(lb, kind="stable")
+        lq, lb = lq[order], lb[order]
+        starts = np.flatnonzero(np.diff(lb, prepend=-2))
+        for start, part in zip(starts, np.split(lq, starts[1:])) if len(lq) else ():
+            members = self.leaves[int(lb[start])]
+            step = max(1, LEAF_BLOCK // len(members))
+            for s in range(0, len(part), step):
+                some = part[s : s + step]
+                a, b = bags[some][:, None], self.bags[members][None, :]
+                most_here = np.minimum(allowed[some][:, None], self.slips[members][None, :])
+                apart = np.maximum(np.bitwise_count(a & ~b), np.bitwise_count(b & ~a))
+                apart = np.maximum(apart, np.abs(sizes[some][:, None] - self.lengths[members][None, :]))
+                x, y = np.nonzero(apart <= most_here)
+                test_q.append(some[x])
+                test_t.append(members[y])
+        tq, tt = np.concatenate(test_q or [np.empty(0, np.int64)]), np.concatenate(test_t or [np.empty(0, np.int64)])
+        order = np.argsort(self.lengths[tt], kind="stable")
+        for s in range(0, len(order), BLOCK):
+            qs, ts = tq[order[s : s + BLOCK]], tt[order[s : s + BLOCK]]
+            d = measure(shape, sizes, qs, self.texts, self.lengths, ts, True)
+            for k in np.flatnonzero(d <= np.minimum(allowed[qs], self.slips[ts])):
+                yield int(qs[k]), int(d[k]), int(ts[k])
+
+    def _down(self, qs: np.ndarray, ts: np.ndarray, labels: np.ndarray, next_q: list, next_t: list, leaf_q: list, leaf_b: list) -> None:
+        below, leaf = self.inner[ts, labels], self.leaf[ts, labels]
+        next_q.append(qs[below >= 0])
+        next_t.append(below[below >= 0].astype(np.int64))
+        leaf_q.append(qs[leaf >= 0])
+        leaf_b.append(leaf[leaf >= 0].astype(np.int64))
 
 
 def slips_of(key: str) -> int:
@@ -288,11 +399,11 @@ def slips_of(key: str) -> int:
     return min(MAX_SLIPS, len(key) // CHARS_PER_SLIP)
 
 
-def admissible(key: str, name: str, general: set[str]) -> int | None:
-    """Slips between a typed and a reference key, if few enough: on the whole, and in the words that
-    are not general."""
+def admissible(key: str, name: str, general: set[str], n: int | None = None) -> int | None:
+    """Slips (``n``, if known) between a typed and a reference key, if few enough: on the whole, and in the
+    words that are not general."""
     most = min(slips_of(key), slips_of(name))
-    n = slips(key, name, most)
+    n = slips(key, name, most) if n is None else n
     if n > most:
         return None
     typed, words = key.split(), name.split()
@@ -324,18 +435,13 @@ def resolve(values: list[str], trees: list[Tree]) -> list[tuple[int, int]]:
                 if key in tree.exact:
                     offer(k, 0, tree, tree.exact[key])
                     break
-    for most in (NEAR_EDITS, MAX_EDITS):
-        # what has been found within a smaller radius of one tree may yet be nearer in another; entries
-        # of as many slips as the nearest one may be twice as many edits off
-        reach = [min(most, 2 * min((n for n, _ in f.values()), default=MAX_SLIPS)) for f in found]
-        missing = [k for k in range(len(values)) if most == NEAR_EDITS and not found[k] or reach[k] > NEAR_EDITS]
-        for tree in trees:
-            asked = [(k, key) for k in missing for key in keys[k] if slips_of(key)]
-            near = tree.within([key for _, key in asked], [min(reach[k], 2 * slips_of(key)) for k, key in asked])
-            for (k, key), hits in zip(asked, near):
-                for _, node in hits:
-                    if (n := admissible(key, tree.keys[node], tree.general)) is not None:
-                        offer(k, n, tree, node)
+    missing = [k for k in range(len(values)) if not found[k]]
+    asked = [(k, key) for k in missing for key in keys[k] if slips_of(key)]
+    for tree in trees:
+        for (k, key), hits in zip(asked, tree.within([key for _, key in asked])):
+            for d, node in hits:
+                if (n := admissible(key, tree.keys[node], tree.general, d)) is not None:
+                    offer(k, n, tree, node)
     out = []
     for value, options in zip(values, found):
         if not options:
@@ -363,27 +469,25 @@ def _trees(entities: DataFrame, shard_names: int) -> Iterator[Tree]:
 def denoted(triples: DataFrame, entities: DataFrame, shard_names: int = SHARD_NAMES) -> DataFrame:
     """(triple_id, field_name, entity_id, distance): for every value of ``subject`` and ``obj`` that
     is neither null nor blank nor a canonical name, the entry it denotes, or 0."""
-    sc = triples.sparkSession.sparkContext
+    spark = triples.sparkSession
     # one broadcast for each tree, so that a long list is never one object
-    shared = [sc.broadcast(tree) for tree in _trees(entities, shard_names)]
+    shared = [spark.sparkContext.broadcast(tree) for tree in _trees(entities, shard_names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = [s.value for s in shared]
-        canonical = {name for tree in trees for name in tree.listed}
-        known: dict[str, tuple[int, int]] = {}
         for batch in batches:
-            ids = batch.column("triple_id").to_pylist()
-            columns = {c: batch.column(c).to_pylist() for c in ("subject", "obj")}
-            wanted = {v for column in columns.values() for v in column if v is not None and v.strip() and v not in canonical}
-            if len(known) > CACHE:
-                known = {}
-            new = sorted(wanted - known.keys())
-            for k in range(0, len(new), 4096):
-                known.update(zip(new[k : k + 4096], resolve(new[k : k + 4096], trees)))
-            rows = [(i, c, *known[v]) for c, column in columns.items() for i, v in zip(ids, column) if v in wanted]
+            rows = [(v, n) for v, n in zip(batch.column("value").to_pylist(), batch.column("n").to_pylist()) if v.strip() and not any(v in tree.listed for tree in trees)]
+            meant = resolve([v for v, _ in rows], trees)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int32()))],
-                names=["triple_id", "field_name", "entity_id", "distance"],
+                [pa.array([v for v, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64()), pa.array([e for e, _ in meant], pa.int64()), pa.array([d for _, d in meant], pa.int32())],
+                names=["value", "n", "entity_id", "distance"],
             )
 
-    return triples.select("triple_id", "subject", "obj").mapInArrow(run, "triple_id long, field_name string, entity_id long, distance int")
+    ends = F.explode(F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("value")) for c in ("subject", "obj")])).alias("x")
+    typed = triples.select("triple_id", ends).select("triple_id", "x.field_name", "x.value").filter("value is not null")
+    counted = typed.groupBy("value").agg(F.count("*").alias("n"))
+    # as many parts as there are cores at least: a value costs far more than its move
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    meant = written(counted.repartition(parts, "value").mapInArrow(run, "value string, n long, entity_id long, distance int"))
+    total = meant.agg(F.sum("n")).head()[0] or 0
+    return hot_join(typed, meant, "value", "triple_id", "n", total, "inner").select("triple_id", "field_name", "entity_id", "distance")

@@ -79,7 +79,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_slips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed values with the entry that they denote and the slips in them."""
-    return canonical.denoted(widen(table(spark, sf_dir, "triples").select("triple_id", "subject", "obj")), table(spark, sf_dir, "canonical_entities"))
+    return canonical.denoted(table(spark, sf_dir, "triples").select("triple_id", "subject", "obj"), table(spark, sf_dir, "canonical_entities"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

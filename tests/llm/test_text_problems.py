@@ -161,14 +161,28 @@ def test_typed_values(value, entity):
     assert canonical.resolve([value], [canonical.Tree(NAMES[:4]), canonical.Tree(NAMES[4:])])[0][0] == entity
 
 
-def test_tree_finds_all_within_the_radius():
-    rnd = random.Random(4)
-    names = sorted({"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 12))) for _ in range(300)} | {"z" * 70})
-    tree = canonical.Tree([(i, n, None) for i, n in enumerate(names)])
-    asked = ["".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 12))) for _ in range(40)] + ["z" * 69, "y" * 80]
-    for radius in (0, 1, 3):
-        for key, found in zip(asked, tree.within(asked, [radius] * len(asked))):
-            assert sorted(n for _, n in found) == [n for n, k in enumerate(tree.keys) if canonical.levenshtein(key, k) <= radius]
+@pytest.mark.parametrize("leaf", [1, 8, 1000])
+def test_tree_finds_all_within_the_threshold(leaf):
+    """Every key within the slips that both keys may have, of any length and script, whatever the leaves."""
+    rnd = random.Random(3)
+    word = lambda low, high, of="abcdefgh é": "".join(rnd.choice(of) for _ in range(rnd.randint(low, high))).strip() or "x"
+    names = sorted({word(2, 14) for _ in range(300)} | {word(60, 90) for _ in range(20)} | {word(510, 530) for _ in range(3)} | {word(4, 8, "абвгд") for _ in range(30)})
+    tree = canonical.Tree([(i, n, None) for i, n in enumerate(names)], leaf)
+    asked = [word(1, 14) for _ in range(60)] + [word(4, 8, "абвгд") for _ in range(20)]
+    for n in rnd.sample(tree.keys, 60) + [n for n in tree.keys if len(n) > 40]:
+        x = list(n)
+        for _ in range(rnd.randint(0, 3)):
+            k = rnd.randrange(len(x))
+            x[k : k + 2] = rnd.choice([x[k : k + 2][::-1], x[k + 1 : k + 2], ["q", *x[k : k + 2]], ["z", *x[k + 1 : k + 2]]])
+        asked.append("".join(x))
+    near = 0
+    for key, found in zip(asked, tree.within(asked)):
+        most = [min(canonical.slips_of(key), canonical.slips_of(k)) for k in tree.keys]
+        want = [(d, n) for n, k in enumerate(tree.keys) if (d := canonical.slips(key, k, most[n])) <= most[n]]
+        assert sorted(found) == sorted(want), key
+        near += len(want)
+    assert near > 40
+    assert canonical.Tree([], leaf).within(["abcd"]) == [[]]
 
 
 def test_denoted_rows(spark):
