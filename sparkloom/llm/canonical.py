@@ -155,7 +155,7 @@ class Codes:
     """Characters of the reference keys as small numbers; 0 is any other character."""
 
     def __init__(self, keys: list[str]) -> None:
-        self.points = np.array(sorted({ord(c) for key in keys for c in key}), np.uint32)
+        self.points = np.array(sorted({ord(c) for key in keys for c in key} | {0}), np.uint32)
         self.size = len(self.points) + 1
         # two bits for each of the first 26 characters' first and second occurrence, the rest in groups
         common = [c for c, _ in Counter(c for key in keys for c in key).most_common(26)]
@@ -291,7 +291,7 @@ class Tree:
         self._grow(np.array([n for n, k in enumerate(self.keys) if len(k) <= LONG], np.int64), leaf)
 
     def _grow(self, nodes: np.ndarray, leaf: int) -> None:
-        waiting: list[tuple[np.ndarray, int, int]] = [(nodes, -1, 0)]
+        waiting: list[tuple[np.ndarray, int, int]] = [(nodes, -1, 0)] if len(nodes) else []
         while waiting:
             group, parent, label = waiting.pop()
             short = np.flatnonzero(self.lengths[group] <= 64)
@@ -488,6 +488,6 @@ def denoted(triples: DataFrame, entities: DataFrame, shard_names: int = SHARD_NA
     counted = typed.groupBy("value").agg(F.count("*").alias("n"))
     # as many parts as there are cores at least: a value costs far more than its move
     parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    meant = written(counted.repartition(parts, "value").mapInArrow(run, "value string, n long, entity_id long, distance int"))
+    meant = written(counted.repartition(parts, F.xxhash64("value")).mapInArrow(run, "value string, n long, entity_id long, distance int"))
     total = meant.agg(F.sum("n")).head()[0] or 0
     return hot_join(typed, meant, "value", "triple_id", "n", total, "inner").select("triple_id", "field_name", "entity_id", "distance")
