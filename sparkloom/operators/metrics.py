@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,25 +95,40 @@ def first_demographics(rows: DataFrame, key: str, demographics: DataFrame, skip_
     return rows.select(key).distinct().join(picked, key, "left")
 
 
-#: Multipliers of the index generator of E1 and E2, which SQL can evaluate too.
-GENERATOR = (7919, 104729, 15485863)
+#: Replicates whose draws one hash of a row holds: eight hex digits each for a weight, one for a sign.
+_WEIGHTS, _SIGNS = 4, 32
+
+
+def poisson_marks() -> list[str]:
+    """Eight hex digits from which a draw is at least 1, 2, ...: the distribution of Poisson(1)."""
+    marks, below, term = [], 0.0, math.exp(-1)
+    for k in range(1, 12):
+        below += term
+        term /= k
+        marks.append(f"{min(math.floor(below * 2**32), 2**32 - 1):08x}")
+    return marks
+
+
+def _replicas(rows: DataFrame, key: str, replicates: int, held: int, digits: int) -> DataFrame:
+    """Rows times replicates, with ``digits`` hex digits that depend on replicate and row alone."""
+    hashed = rows.withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // held))))
+    hashed = hashed.withColumn("_hash", F.md5(F.concat_ws(":", F.col("_group").cast("string"), F.col(key).cast("string"))))
+    each = hashed.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(held - 1))))
+    out = each.withColumn("rep", F.col("_group") * held + F.col("_at")).withColumn("digits", F.substring("_hash", F.col("_at") * digits + 1, F.lit(digits)))
+    return out.filter(F.col("rep") < replicates).drop("_group", "_hash", "_at")
 
 
 def bootstrap_ci(scores: DataFrame, replicates: int = 1000, confidence: float = 0.95) -> DataFrame:
-    """(mean, lower, upper). ``scores``: (row_no from 0, value). Replicate r draws row
-    (A r + B i + C) mod n for i = 0..n-1; bounds are the sorted means at int(a/2 R) and
-    int((1 - a/2) R) - 1.
+    """(mean, lower, upper). ``scores``: (key, value), keys distinct. In replicate r a row counts as often as
+    a Poisson(1) draw from the hash of (r, key) says, which is resampling with replacement as far as
+    sums can tell; bounds are the sorted means at int(a/2 R) and int((1 - a/2) R) - 1.
 
-    A draw is an index formula, so a replicate's mean is a sum over how often each row is drawn:
-    the join is on the drawn index and sums are partial before the shuffle.
+    The draws need no neighbour, so rows are read once and leave each task as one sum a replicate.
     """
-    a, b, c = GENERATOR
-    n = scores.count()
-    if not n:
-        return scores.sparkSession.createDataFrame([(0.0, 0.0, 0.0)], "mean double, lower double, upper double")
-    reps = scores.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    draws = scores.select("row_no").crossJoin(F.broadcast(reps)).select("rep", F.expr(f"pmod(rep * {a}L + row_no * {b}L + {c}L, {n}L)").alias("row_no"))
-    means = draws.join(scores, "row_no").groupBy("rep").agg(F.avg("value").alias("m"))
+    drawn = _replicas(scores.filter("value is not null"), "key", replicates, _WEIGHTS, 8)
+    weight = sum(((F.col("digits") >= m).cast("int") for m in poisson_marks()), F.lit(0))
+    sums = drawn.select("rep", "value", weight.alias("w")).groupBy("rep").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("value")).alias("total"))
+    means = sums.filter("n > 0").select("rep", F.round(F.col("total") / F.col("n"), 9).alias("m"))
     alpha = 1 - confidence
     lo, hi = int(alpha / 2 * replicates), int((1 - alpha / 2) * replicates) - 1
     rank = F.row_number().over(Window.orderBy("m", "rep")) - 1  # as many rows as replicates
@@ -119,16 +136,14 @@ def bootstrap_ci(scores: DataFrame, replicates: int = 1000, confidence: float =
         F.max(F.when(F.col("rank") == lo, F.col("m"))).alias("lower"), F.max(F.when(F.col("rank") == hi, F.col("m"))).alias("upper")
     )
     mean = scores.agg(F.avg("value").alias("mean"))
-    return mean.crossJoin(picked).select(*[F.round(x, 6).alias(x) for x in ("mean", "lower", "upper")])
+    return mean.crossJoin(picked).select(*[F.round(F.coalesce(x, F.lit(0.0)), 6).alias(x) for x in ("mean", "lower", "upper")])
 
 
 def permutation_test(pairs: DataFrame, replicates: int = 1000) -> DataFrame:
-    """(observed, p_value, n). ``pairs``: (row_no, a, b). Replicate r swaps pair i where a
-    bit of the generator is set; two-sided, hits over replicates."""
-    x, y, z = GENERATOR
-    reps = pairs.sparkSession.range(replicates).select(F.col("id").alias("rep"))
-    flip = F.expr(f"case when pmod(floor(pmod(rep * {x}L + row_no * {y}L + {z}L, 1000003L) / 17), 2) = 0 then 1 else -1 end")
-    sums = pairs.select("row_no", (F.col("a") - F.col("b")).alias("d")).crossJoin(F.broadcast(reps)).groupBy("rep").agg((F.sum(flip * F.col("d")) / F.count("*")).alias("m"))
+    """(observed, p_value, n). ``pairs``: (key, a, b), keys distinct. Replicate r swaps a pair where a
+    hex digit of the hash of (r, key) is 8 or more; two-sided, hits over replicates."""
+    drawn = _replicas(pairs.select("key", (F.col("a") - F.col("b")).alias("d")), "key", replicates, _SIGNS, 1)
+    sums = drawn.groupBy("rep").agg((F.sum(F.when(F.col("digits") >= "8", -F.col("d")).otherwise(F.col("d"))) / F.count("*")).alias("m"))
     seen = pairs.agg(F.avg(F.col("a") - F.col("b")).alias("observed"), F.count("*").alias("n"))
     hits = F.avg((F.abs(F.round("m", 9)) >= F.abs(F.round("observed", 9))).cast("double"))
     return sums.crossJoin(F.broadcast(seen)).groupBy("observed", "n").agg(hits.alias("p_value")).select(F.round("observed", 6).alias("observed"), F.round("p_value", 6).alias("p_value"), "n")

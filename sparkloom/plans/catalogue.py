@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as S
 from ..operators import chunking, expand, filtering, generation, graph, linking, metrics, ranking
-from ..session import durable
 from ..sources.tables import table as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -164,12 +163,6 @@ def answer_scores(s, d):
     return _scored(s, d).select("pred_id", "em", F.round("f1", 6).alias("f1"))
 
 
-@query
-def answer_scores_unicode(s, d):
-    """S1 with NFKD over every prediction."""
-    return metrics.scored(T(s, d, "predictions")).select("pred_id", "em", F.round("f1", 6).alias("f1"))
-
-
 @query
 def text_hashes(s, d):
     """IO19: first 16 hex digits of SHA-256."""
@@ -569,22 +562,10 @@ def retrieval_fairness(s, d):
     return metrics.retrieval_fairness(_ranked_gold(s, d))
 
 
-def _numbered(df: DataFrame, key: str) -> DataFrame:
-    """``row_no`` from 0 in the order of ``key``: a local count in each range partition plus what
-    comes before it."""
-    parts = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
-    tagged = parts.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at"))
-    tagged = durable(tagged)
-    sizes = tagged.groupBy("part").agg(F.count("*").alias("size"))  # as many rows as partitions
-    before = sizes.select("part", (F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"))
-    return tagged.join(F.broadcast(before), "part").withColumn("row_no", F.col("before") + F.col("at")).drop("part", "at", "before")
-
-
 @query
 def bootstrap_ci(s, d):
     """Of exact match."""
-    rows = _numbered(_scored(s, d).select("pred_id", "em"), "pred_id")
-    return metrics.bootstrap_ci(rows.select("row_no", F.col("em").alias("value")))
+    return metrics.bootstrap_ci(_scored(s, d).select(F.col("pred_id").alias("key"), F.col("em").alias("value")))
 
 
 def _two_runs(s, d):
@@ -600,7 +581,7 @@ def _two_runs(s, d):
 @query
 def permutation_test(s, d):
     """E2, E11."""
-    return metrics.permutation_test(_numbered(_two_runs(s, d).select("id", "a", "b"), "id"))
+    return metrics.permutation_test(_two_runs(s, d).select(F.col("id").alias("key"), "a", "b"))
 
 
 @query

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from ..functions import text as S
+from ..operators.metrics import poisson_marks
 
-WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WS = f"[{SPACES}]"
 ASCII = r"'^[\x00-\x7f]*$'"
 EVERY = 100
 
@@ -25,10 +29,29 @@ def qids(x: str) -> str:
     return f"list_transform(list_filter(string_split(coalesce({x}, ''), '_'), lambda q : starts_with(q, 'Q')), lambda q : trim(q))"
 
 
-def norm(x: str) -> str:
-    """ASCII only."""
+def _compatible() -> str:
+    """The characters that NFKD takes apart, as a SQL map; Korean syllables, which follow a formula, and
+    the CJK compatibility ideographs stay as they are."""
+    apart = {c: t for c in map(chr, range(0x80, 0xFFFF)) if not 0xAC00 <= ord(c) <= 0xFAFF and (t := unicodedata.normalize("NFKD", c)) != c}
+    quoted = lambda items: ", ".join("'" + x.replace("'", "''") + "'" for x in items)
+    return f"map([{quoted(apart)}], [{quoted(apart.values())}])"
+
+
+#: The map stands once in a query, beside the rows that need it.
+NFKD = f"nfkd as materialized (select {_compatible()} as apart)"
+
+
+def decomposed(x: str) -> str:
+    """NFKD of a text, letter by letter; texts in ASCII as they are."""
+    return f"case when regexp_matches({x}, {ASCII}) then {x} else (select array_to_string(list_transform(string_split({x}, ''), lambda c : coalesce(apart[c], c)), '') from nfkd) end"
+
+
+def bare(x: str) -> str:
+    """What normalising leaves of a decomposed text. What is no letter or digit is doubled first, so that
+    neighbouring articles do not share it; white space and punctuation go anyway."""
+    doubled = rf"regexp_replace({x}, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g')"
     return (
-        rf"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '\b(a|an|the)\b', ' ', 'g'),"
+        rf"trim(regexp_replace(regexp_replace(regexp_replace({doubled}, '(^|[^\p{{L}}\p{{N}}_])(a|an|the)($|[^\p{{L}}\p{{N}}_])', '\1 \3', 'g'),"
         rf" '[!-/:-@\[-`{{-~]', '', 'g'), '{WS}+', ' ', 'g'))"
     )
 
@@ -96,8 +119,9 @@ TAGS = (
              from tq group by chunk_id)"""
 )
 SCORED = (
-    f"sc as (select *, cast({norm('answer')} = {norm('gold_answer')} as double) as em, {token_f1(norm('answer'), norm('gold_answer'))} as f1"
-    f" from predictions where gold_answer is not null and regexp_matches(coalesce(answer, ''), {ASCII}) and regexp_matches(gold_answer, {ASCII}))"
+    NFKD + ", dc as (select *, lower(coalesce(answer, '')) as la, lower(gold_answer) as lg from predictions where gold_answer is not null),"
+    f" nm as (select * exclude (la, lg), {bare(decomposed('la'))} as na, {bare(decomposed('lg'))} as ng from dc),"
+    f" sc as (select *, cast(na = ng as double) as em, {token_f1('na', 'ng')} as f1 from nm)"
 )
 GROUPS = (
     SCORED + ", lg as (select experiment, em, f1, 'gender' as attribute, coalesce(gender, 'unknown') as grp from sc"
@@ -134,7 +158,6 @@ LONG_RECORDS = (
     " coalesce(len(list_filter(evidences, lambda e : len(e) >= 3)), 0) as n_evidences, coalesce(len(context), 0) as n_paragraphs from r"
 )
 EUROPE = "(" + ", ".join(f"'{q(c)}'" for c in S.EUROPEAN) + ")"
-NUMBERED_GEN = "((rep * 7919 + row_no * 104729 + 15485863) % {n})"
 
 
 def weighed(step: str, chunks: str, n: int) -> str:
@@ -163,9 +186,9 @@ SQL: dict[str, str] = {
     "evidence_triples": f"with {EVIDENCE} select * from ev",
     "safe_ids": f"select chunk_row, {safe('source_title')} as safe, 'doc_' || substr(replace(source_title, ' ', '_'), 1, 80) || '_0' as gold from chunks",
     "truncated_texts": f"""select chunk_row, md5(case when len({words('text')}) <= 64 then text else array_to_string(list_slice({words('text')}, 1, 64), ' ') end) as digest,
-        len({words('text')}) as n_words from chunks where regexp_matches(text, {ASCII})""",
-    "parsed_answers": rf"""with p as (select pred_id, {strip('raw_response')} as x from predictions where regexp_matches(raw_response, {ASCII})),
-        s as (select pred_id, x, regexp_extract(x, '(?is)(?:answer|ans)[\s\x0b\x1c-\x1f:]+((?s:.)[^\n]*?)(?:\n|$)', 1) as marked, regexp_extract(x, '(?i)the answer is[\s\x0b\x1c-\x1f]+(.+?)(?:\.|$)', 1) as stated from p)
+        len({words('text')}) as n_words from chunks""",
+    "parsed_answers": rf"""with p as (select pred_id, {strip('raw_response')} as x from predictions),
+        s as (select pred_id, x, regexp_extract(x, '(?i)(?:answer|ans)[{SPACES}:]+([^\n]+?)(?:\n|$)', 1) as marked, regexp_extract(x, '(?i)the answer is{WS}+([^\n]+?)(?:\.|$)', 1) as stated from p)
         select pred_id, case when marked <> '' then regexp_replace({strip('marked')}, '\.+$', '') when stated <> '' then {strip('stated')}
         else regexp_replace({strip("string_split(x, chr(10))[1]")}, '\.+$', '') end as parsed from s""",
     "rendered_prompts": f"""select pred_id, md5(case when coalesce(gold_answer, '') = '' then '{q(S.PROMPT_BARE)}' else '{q(S.PROMPT_HEAD)}' || gold_answer end
@@ -274,12 +297,12 @@ SQL: dict[str, str] = {
         round(avg(case when len(top) > 0 then len(list_intersect(list_distinct(top), gold)) / len(top) else 0.0 end), 6) as precision from x group by k""",
     "retrieval_fairness": f"""with {GOLD}, x as (select *, {RR.format(k='5')} as rr from g), y as (select rr, 'gender' as attribute, coalesce(gender, 'unknown') as grp from x
         union all select rr, 'geo_group', coalesce(geo_group, 'unknown') from x) select attribute, grp, round(avg(rr), 6) as mrr, count(*) as n from y group by all""",
-    "bootstrap_ci": f"""with {SCORED}, b as (select row_number() over (order by pred_id) - 1 as row_no, em as value from sc), n as (select count(*) as n from b),
-        d as (select rep, {NUMBERED_GEN.format(n='n')} as j from b, n, (select unnest(range(1000)) as rep)), ms as (select rep, avg(value) as m from d join b on b.row_no = d.j group by rep),
-        rk as (select m, row_number() over (order by m, rep) - 1 as rank from ms)
-        select (select round(avg(value), 6) from b) as mean, round(max(m) filter (rank = 25), 6) as lower, round(max(m) filter (rank = 974), 6) as upper from rk""",
-    "permutation_test": f"""with {RUNS}, b as (select row_number() over (order by id) - 1 as row_no, a - b as d from ab),
-        ms as (select rep, avg(case when ({NUMBERED_GEN.format(n='1000003')} // 17) % 2 = 0 then d else -d end) as m from b, (select unnest(range(1000)) as rep) group by rep),
+    "bootstrap_ci": f"""with {SCORED}, h as (select em, g, md5(g || ':' || pred_id) as h from sc, (select unnest(range(250)) as g)),
+        w as (select g * 4 + k as rep, em, list_sum(list_transform({list(poisson_marks())}, lambda m : cast(substr(h, 8 * k + 1, 8) >= m as int))) as w from h, (select unnest(range(4)) as k)),
+        ms as (select rep, round(sum(w * em) / sum(w), 9) as m from w group by rep having sum(w) > 0), rk as (select m, row_number() over (order by m, rep) - 1 as rank from ms)
+        select (select round(avg(em), 6) from sc) as mean, round(max(m) filter (rank = 25), 6) as lower, round(max(m) filter (rank = 974), 6) as upper from rk""",
+    "permutation_test": f"""with {RUNS}, b as (select id, a - b as d from ab), h as (select d, g, md5(g || ':' || id) as h from b, (select unnest(range(32)) as g)),
+        ms as (select g * 32 + k as rep, avg(case when substr(h, k + 1, 1) >= '8' then -d else d end) as m from h, (select unnest(range(32)) as k) where g * 32 + k < 1000 group by rep),
         o as (select avg(d) as observed, count(*) as n from b)
         select round(observed, 6) as observed, round(avg(cast(abs(round(m, 9)) >= abs(round(observed, 9)) as double)), 6) as p_value, n from ms, o group by observed, n""",
     "corpus_stats": f"""with {RECORDS}, x as ({LONG_RECORDS}) select count(*) as n, round(avg(n_paragraphs), 6) as paragraphs, round(avg(n_evidences), 6) as evidences,

@@ -1,3 +1,6 @@
+import hashlib
+import random
+
 import datetime as dt
 
 import pytest
@@ -67,14 +70,40 @@ def test_first_demographics(spark):
     assert metrics.first_demographics(rows, "k", people, skip_unknown=True).filter("k = 1").head().geo_group == "european"
 
 
-def test_resampling(spark):
+def test_bootstrap_equals_plain_python(spark):
     values = [0.0, 1.0, 1.0, 0.0, 1.0, 0.5, 0.25]
-    rows = spark.createDataFrame(list(enumerate(values)), "row_no long, value double")
-    a, b, c = metrics.GENERATOR
-    n = len(values)
-    means = sorted(sum(values[(r * a + i * b + c) % n] for i in range(n)) / n for r in range(200))
+    rows = spark.createDataFrame([*enumerate(values), (99, None)], "key long, value double")
+    marks = metrics.poisson_marks()
+    means = []
+    for rep in range(200):
+        digits = [hashlib.md5(f"{rep // 4}:{k}".encode()).hexdigest()[rep % 4 * 8 :][:8] for k in range(len(values))]
+        weights = [sum(d >= m for m in marks) for d in digits]
+        if sum(weights):
+            means.append(round(sum(w * v for w, v in zip(weights, values)) / sum(weights), 9))
+    means.sort()
     got = metrics.bootstrap_ci(rows, 200).head()
-    assert (got.lower, got.upper) == (round(means[5], 6), round(means[194], 6)) and got.mean == round(sum(values) / n, 6)
-    assert metrics.bootstrap_ci(rows.limit(0)).head().upper == 0.0
-    pairs = spark.createDataFrame([(i, v, v) for i, v in enumerate(values)], "row_no long, a double, b double")
+    assert (got.lower, got.upper) == (round(means[5], 6), round(means[194], 6)) and got.mean == round(sum(values) / len(values), 6)
+    assert tuple(metrics.bootstrap_ci(rows.limit(0)).head()) == (0.0, 0.0, 0.0)
+
+
+def test_bootstrap_has_width_and_covers(spark):
+    """Of samples with a known mean nearly all intervals hold it, and they are as wide as theory says."""
+    rnd = random.Random(5)
+    n, share, held, widths = 400, 0.3, 0, []
+    for sample in range(12):
+        rows = spark.createDataFrame([(sample * n + i, float(rnd.random() < share)) for i in range(n)], "key long, value double")
+        got = metrics.bootstrap_ci(rows).head()
+        held += got.lower <= share <= got.upper
+        widths.append(got.upper - got.lower)
+        assert got.lower < got.mean < got.upper
+    theory = 2 * 1.96 * (share * (1 - share) / n) ** 0.5
+    assert held >= 10 and abs(sum(widths) / len(widths) / theory - 1) < 0.15
+
+
+def test_permutation(spark):
+    pairs = spark.createDataFrame([(i, 0.5, 0.5) for i in range(7)], "key long, a double, b double")
     assert metrics.permutation_test(pairs, 50).head().p_value == 1.0
+    rnd = random.Random(6)
+    same = spark.createDataFrame([(i, rnd.random(), rnd.random()) for i in range(200)], "key long, a double, b double")
+    better = same.withColumn("a", F.col("a") + 0.3)
+    assert metrics.permutation_test(same).head().p_value > 0.05 and metrics.permutation_test(better).head().p_value == 0.0

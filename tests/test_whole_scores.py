@@ -1,7 +1,7 @@
 """Scores and what is made of them count every prediction with a reference answer, accents or not.
 
-The SQL of these queries takes ASCII texts only. So the texts are normalised here in plain Python, letters
-outside ASCII spelled as codes, and the SQL runs over that; the queries run over the texts as they are."""
+The texts are normalised here in plain Python, letters outside ASCII spelled as codes, and the SQL runs over
+that; the queries run over the texts as they are."""
 
 import re
 import string
