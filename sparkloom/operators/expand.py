@@ -7,37 +7,66 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written, written_all
+from .joins import hot_keys, salted_join
+
 MAX_CHUNKS = 20
+#: What the weight of over-represented groups is multiplied by; the others' is divided by it.
+BALANCE = 0.8
 Adjust = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def bfs(
-    seeds: DataFrame, mentions: DataFrame, edges: DataFrame, max_hops: int = 2, decay: float = 0.5, adjust: Adjust | None = None
+    seeds: DataFrame, mentions: DataFrame, edges: DataFrame, max_hops: int = 2, decay: float = 0.5, adjust: Adjust | None = None, keep: bool = False,
+    top: int | None = None, most: float = 1.0,
 ) -> tuple[DataFrame, DataFrame]:
     """(query_id, chunk_id, score), (query_id, entity, score, hop).
 
-    All queries go together, one join for each hop. An entity is scored at its first hop only, by
-    its best parent; decay compounds over the hops (Q1). ``adjust`` gets (query_id, entity, score)
-    of a hop and (query_id, chunk_id, score) so far and returns the former with other scores: the
-    place for a scorer of one's own.
+    All queries go together, one join for each hop; what a hop found is written once, since the next hop, the
+    anti-join and the result all read it (the last one only if ``keep``: for callers of both results). An entity is scored at its first hop only, by its best parent; decay
+    compounds over the hops (Q1). Hubs, of edges as of mentions, are split over several tasks, and the
+    best score is taken within each task first. ``adjust`` gets (query_id, entity, score) of a hop and
+    (query_id, chunk_id, score) so far and returns the former with other scores, at most ``most`` times as
+    high: the place for a scorer of one's own.
+
+    Where only the ``top`` best chunks of a query are wanted, the last hop goes on from those entities alone whose
+    neighbours may still come among them: scores fall along the hops, so no such chunk is lost. The
+    entities returned are then those that were followed.
     """
-    chunks = seeds.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
-    reached = chunks.join(mentions, "chunk_id").groupBy("query_id", "entity").agg(F.max("score").alias("score"))
-    visited = reached.withColumn("hop", F.lit(0))
-    frontier = reached
+    edges, mentions = written_all(edges, mentions)
+    hubs, told = written_all(hot_keys(edges, "a").withColumnRenamed("a", "entity"), hot_keys(mentions, "entity"))
+    out = edges.withColumnRenamed("a", "entity")
+    known = seeds.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    frontier = written(known.join(mentions, "chunk_id").groupBy("query_id", "entity").agg(F.max("score").alias("score")))
+    visited = frontier.withColumn("hop", F.lit(0))
+    chunks = known
     for hop in range(max_hops):
+        last = hop == max_hops - 1
+        if top and last:
+            if not adjust and hop:
+                near = salted_join(visited.filter("hop > 0").drop("hop"), mentions, "entity", "chunk_id", told).select("query_id", "chunk_id", "score")
+                chunks = chunks.unionByName(near).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+            # a chunk that is not among the best comes there by a better score only, which the hop then finds
+            chunks = written(ranked(chunks, top))
+            floor = chunks.filter(F.col("rank") == top).select("query_id", F.col("score").alias("floor"))
+            chunks = chunks.drop("rank")
+            reach = F.col("score") * F.lit(decay ** (hop + 1) * most)
+            frontier = frontier.join(floor, "query_id", "left").filter(F.col("floor").isNull() | (reach >= F.col("floor") - 1e-6)).drop("floor")
         step = (
-            frontier.join(edges, frontier["entity"] == edges["a"])
+            salted_join(frontier, out, "entity", "b", hubs)
             .groupBy("query_id", F.col("b").alias("entity"))
             .agg((F.max("score") * F.lit(decay ** (hop + 1))).alias("score"))
             .join(visited.select("query_id", "entity"), ["query_id", "entity"], "left_anti")
         )
         if adjust:
-            step = adjust(step, chunks)
-        frontier = step
-        visited = visited.unionByName(step.withColumn("hop", F.lit(hop + 1)))
-        found = step.join(mentions, "entity").select("query_id", "chunk_id", "score")
-        chunks = chunks.unionByName(found).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+            step = adjust(written(step), chunks)
+        frontier = step if last and not keep else written(step)
+        visited = visited.unionByName(frontier.withColumn("hop", F.lit(hop + 1)))
+        if adjust or last:
+            reached = frontier if adjust or top and last and hop else visited.filter("hop > 0").drop("hop")
+            found = salted_join(reached, mentions, "entity", "chunk_id", told).select("query_id", "chunk_id", "score")
+            chunks = chunks.unionByName(found).groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+            chunks = chunks if last and not keep else written(chunks)
     return chunks, visited
 
 
@@ -50,7 +79,18 @@ def ranked(chunks: DataFrame, k: int | None = None) -> DataFrame:
 
 def expand(seeds: DataFrame, mentions: DataFrame, edges: DataFrame, k: int = MAX_CHUNKS, **how: object) -> DataFrame:
     """The best ``k`` chunks of each query."""
-    return ranked(bfs(seeds, mentions, edges, **how)[0], k)
+    return ranked(bfs(seeds, mentions, edges, top=k, **how)[0], k)
+
+
+def fair_expand(seeds: DataFrame, mentions: DataFrame, edges: DataFrame, tags: DataFrame, strategy: str = "in_traversal", k: int = MAX_CHUNKS, **how: object) -> DataFrame:
+    """Expansion by the named strategy: ``post_hoc``, ``in_traversal`` or ``constraint``."""
+    if strategy not in ("post_hoc", "in_traversal", "constraint"):
+        raise ValueError(f"unknown fairness strategy: {strategy}")
+    if strategy == "in_traversal":
+        chunks, _ = bfs(seeds, mentions, edges, adjust=balance(tags, mentions), top=k, most=1 / BALANCE, **how)
+        return ranked(chunks.withColumn("score", F.round("score", 9)), k)
+    chunks, _ = bfs(seeds, mentions, edges, **how)
+    return post_hoc(chunks, tags, k=k) if strategy == "post_hoc" else constrained(chunks, tags, k=k)
 
 
 def post_hoc(chunks: DataFrame, tags: DataFrame, attribute: str = "gender", k: int = MAX_CHUNKS) -> DataFrame:
@@ -71,18 +111,18 @@ def post_hoc(chunks: DataFrame, tags: DataFrame, attribute: str = "gender", k: i
     return ranked(chosen.select("query_id", "chunk_id", "score"))
 
 
-def balance(tags: DataFrame, mentions: DataFrame, attributes: tuple[str, ...] = ("gender", "geo_group"), factor: float = 0.8) -> Adjust:
+def balance(tags: DataFrame, mentions: DataFrame, attributes: tuple[str, ...] = ("gender", "geo_group"), factor: float = BALANCE) -> Adjust:
     """The weight of an entity is the mean, over its chunks and attributes, of ``factor``
     for groups above their even share so far and of its reciprocal for the others. Each chunk
     found so far counts once."""
     pairs = F.explode(F.array(*[F.struct(F.lit(a).alias("attr"), F.col(a).alias("grp")) for a in attributes]))
-    long = tags.select("chunk_id", pairs.alias("x")).select("chunk_id", "x.attr", "x.grp").filter("grp is not null")
+    long = written(tags.select("chunk_id", pairs.alias("x")).select("chunk_id", "x.attr", "x.grp").filter("grp is not null"))
+    # how many chunks of each group an entity has does not depend on the query
+    of_entity = written(mentions.join(long, "chunk_id").groupBy("entity", "attr", "grp").agg(F.count("*").alias("m")))
 
     def adjust(step: DataFrame, chunks: DataFrame) -> DataFrame:
         counts = chunks.join(long, "chunk_id").groupBy("query_id", "attr", "grp").agg(F.count("*").alias("n"))
         totals = counts.groupBy("query_id", "attr").agg(F.sum("n").alias("total"), F.count("*").alias("groups"))
-        # how many chunks of each group an entity has does not depend on the query
-        of_entity = mentions.join(long, "chunk_id").groupBy("entity", "attr", "grp").agg(F.count("*").alias("m"))
         weighed = (
             step.select("query_id", "entity").join(of_entity, "entity")
             .join(totals, ["query_id", "attr"], "left").join(counts, ["query_id", "attr", "grp"], "left")

@@ -6,31 +6,34 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ngram_overlap, truncate_words
+from ..functions.text import jaccard, ngrams, truncate_words
+from ..session import written
 from .expand import ranked
+from .joins import hot_keys, salted_join
 
 MAX_CHUNKS = 15
 CONTEXT_WORDS = 2048
+#: Similarity from which a word of the question names an entity, and what two such entities add to an edge.
+MATCH, BOOST = 0.9, 2.0
 
 
 def _query_edges(chunks: DataFrame, mentions: DataFrame, triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(query_id, entity) and (query_id, a, b, a < b) inside each query's entities."""
-    nodes = chunks.join(mentions, "chunk_id").select("query_id", "entity").distinct()
+    nodes = written(chunks.join(mentions, "chunk_id").select("query_id", "entity").distinct())
     pairs = triples.select(F.least("subject", "obj").alias("a"), F.greatest("subject", "obj").alias("b")).filter("a <> b").distinct()
-    inside = (
-        nodes.withColumnRenamed("entity", "a").join(pairs, "a")
-        .join(nodes.withColumnRenamed("entity", "b"), ["query_id", "b"], "left_semi")
-    )
-    return nodes, inside.select("query_id", "a", "b")
+    # a hub has edges to most names, so its edges are split before the other end is looked up
+    met = salted_join(nodes.withColumnRenamed("entity", "a"), pairs, "a", "b", hot_keys(pairs, "a"))
+    inside = met.join(nodes.withColumnRenamed("entity", "b"), ["query_id", "b"], "left_semi")
+    return nodes, written(inside.select("query_id", "a", "b"))
 
 
-def query_entities(nodes: DataFrame, queries: DataFrame, threshold: float = 0.8) -> DataFrame:
+def query_entities(nodes: DataFrame, queries: DataFrame, threshold: float = MATCH) -> DataFrame:
     """(query_id, entity) of nodes whose name matches a word of the query or stands in it.
     ``queries``: (query_id, question). Only a query's own nodes are compared."""
-    words = F.split(F.lower("question"), r"\s+")
-    both = nodes.join(queries, "query_id")
-    hit = F.exists(words, lambda w: ngram_overlap(F.col("entity"), w) >= threshold) | F.contains(F.lower("question"), F.lower("entity"))
-    return both.filter(hit).select("query_id", "entity")
+    words = F.transform(F.split(F.lower("question"), r"\s+"), lambda w: ngrams(w))
+    both = nodes.join(queries.select("query_id", F.lower("question").alias("question"), words.alias("words")), "query_id")
+    like = F.transform(F.array(ngrams(F.col("entity"))), lambda g: F.exists("words", lambda w: jaccard(g, w) >= threshold))[0]
+    return both.filter(F.contains("question", F.lower("entity")) | like).select("query_id", "entity")
 
 
 def graph_filter(chunks: DataFrame, mentions: DataFrame, triples: DataFrame, queries: DataFrame, k: int = MAX_CHUNKS) -> DataFrame:
@@ -48,13 +51,23 @@ def graph_filter(chunks: DataFrame, mentions: DataFrame, triples: DataFrame, que
     return ranked(judged.filter(plain | F.col("has")).select("query_id", "chunk_id", "score"), k)
 
 
-def edge_weights(chunks: DataFrame, mentions: DataFrame, triples: DataFrame, entity_scores: DataFrame) -> DataFrame:
-    """R15 without query boosts: (query_id, a, b, weight), the sum of both ends' scores."""
-    _, inside = _query_edges(chunks, mentions, triples)
-    score = entity_scores.select("query_id", "entity", "score")
-    a, b = score.toDF("query_id", "a", "sa"), score.toDF("query_id", "b", "sb")
-    joined = inside.join(a, ["query_id", "a"], "left").join(b, ["query_id", "b"], "left")
-    return joined.select("query_id", "a", "b", (F.coalesce("sa", F.lit(0.0)) + F.coalesce("sb", F.lit(0.0))).alias("weight"))
+def edge_weights(chunks: DataFrame, mentions: DataFrame, triples: DataFrame, entity_scores: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, a, b, weight): the sum of both ends' scores, 1 where there are no scores; each two
+    entities that the query names have ``BOOST`` more, or an edge of that weight."""
+    nodes, inside = _query_edges(chunks, mentions, triples)
+    if entity_scores is None:
+        weighed = inside.withColumn("weight", F.lit(1.0))
+    else:
+        score = entity_scores.select("query_id", "entity", "score")
+        a, b = score.toDF("query_id", "a", "sa"), score.toDF("query_id", "b", "sb")
+        joined = inside.join(a, ["query_id", "a"], "left").join(b, ["query_id", "b"], "left")
+        weighed = joined.select("query_id", "a", "b", (F.coalesce("sa", F.lit(0.0)) + F.coalesce("sb", F.lit(0.0))).alias("weight"))
+    if queries is None:
+        return weighed
+    named = written(query_entities(nodes, queries))  # of one query's few names
+    both = named.toDF("query_id", "a").join(named.toDF("query_id", "b"), "query_id").filter("a < b").withColumn("boost", F.lit(BOOST))
+    out = weighed.join(both, ["query_id", "a", "b"], "full")
+    return out.select("query_id", "a", "b", (F.coalesce("weight", F.lit(0.0)) + F.coalesce("boost", F.lit(0.0))).alias("weight"))
 
 
 def _kruskal(edges: pd.DataFrame) -> pd.DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE
+from .joins import hot_join
 
 
 def stripped(c: str | Column) -> Column:
@@ -75,9 +76,9 @@ def induced(triples: DataFrame, nodes: DataFrame) -> DataFrame:
     return related(triples.join(a, "subject", "left_semi").join(b, "obj", "left_semi"))
 
 
-def edges_between(triples: DataFrame, source: str, target: str) -> DataFrame:
-    """KG7: parallel directed edges."""
-    return related(triples).filter((F.col("subject") == source) & (F.col("obj") == target))
+def edges_between(triples: DataFrame, pairs: DataFrame) -> DataFrame:
+    """KG7: the parallel directed edges of each of ``pairs`` (subject, obj)."""
+    return related(triples.join(pairs.select("subject", "obj").distinct(), ["subject", "obj"], "left_semi"))
 
 
 def summary(triples: DataFrame) -> DataFrame:
@@ -96,5 +97,8 @@ def links_by_chunk(mentions: DataFrame) -> DataFrame:
 
 
 def links_by_entity(mentions: DataFrame) -> DataFrame:
-    """KG10/J8, counted: a name that a tenth of all chunks mention has no list to hold."""
-    return mentions.groupBy("entity").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first_chunk"), F.max("chunk_id").alias("last_chunk"))
+    """KG5/KG10/J8: (entity, chunk_id, n): every link as a row, with the number of the entity's chunks. A name that
+    a tenth of all chunks mention has no list to hold, and its links are not moved: only counts are."""
+    counts = mentions.groupBy("entity").agg(F.count("*").alias("n"))
+    total = mentions.count()
+    return hot_join(mentions, counts.withColumn("links", F.col("n")), "entity", "chunk_id", "n", total).select("entity", "chunk_id", F.col("links").alias("n"))

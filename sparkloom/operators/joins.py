@@ -28,3 +28,25 @@ def hot_join(rows: DataFrame, classes: DataFrame, key: str, spread: str, count:
     if how == "inner":
         joined = joined.filter("_v is not null")
     return joined.select(*rows.columns, *[F.col(f"_v.{c}").alias(c) for c in values])
+
+
+#: Parts into which the rows of a hot key are split.
+SALTS = 16
+
+
+def hot_keys(rows: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
+    """(key) of what more than ``share`` of all rows hold: at most 1 / ``share`` keys. Counts are partial
+    before the shuffle."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    total = rows.agg(F.count("*").alias("_total"))
+    return counts.join(F.broadcast(total), F.col("_n") > F.greatest(F.lit(1000), F.col("_total") * share)).select(key)
+
+
+def salted_join(few: DataFrame, many: DataFrame, key: str, spread: str, hot: DataFrame) -> DataFrame:
+    """``few`` and ``many`` by ``key``. The rows of ``many`` with a key in ``hot`` (from ``hot_keys``) are split over
+    ``SALTS`` parts by their ``spread``; each part meets its own copy of the rows of ``few``."""
+    mark = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    split = many.join(mark, key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = few.join(mark, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return copied.join(split, [key, "_salt"]).drop("_salt")

@@ -1,16 +1,21 @@
-"""Exact vector search and BM25."""
+"""Exact vector search and BM25.
+
+Both take a bounded set of queries, which passes through the driver in blocks, against any number of rows."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ngram_overlap
+from ..session import widen, written
 
 #: Query vectors in one broadcast block, and numbers in one block of products.
 QUERY_BLOCK, PRODUCTS = 4096, 4_000_000
@@ -76,28 +81,78 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     (doc_id, text). Okapi scores; terms in more than half of the documents get a quarter of the
     mean idf. The k best are taken, of which those above zero stay.
 
-    Postings are counted once per (document, term) before any shuffle and only for the terms that
-    some query has.
+    A document is one row, so its terms need no shuffle: only the document counts of terms are grouped, partial
+    first. Queries go out in blocks of bounded size; each task scores its documents against a block as
+    a sparse product and keeps the best ``k`` of each query, so the shuffle holds k rows a task and query
+    even for a word that every document and query has.
     """
+    spark = docs.sparkSession
     words = docs.select("doc_id", terms(F.col("text")).alias("w"))
-    size = words.select("doc_id", F.size("w").alias("dl"))
-    stats = size.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    postings = words.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("idf", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    wanted = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    idf = raw.join(wanted.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean))
-    idf = idf.select("term", F.when(F.col("idf") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    weighed = postings.join(idf, "term").crossJoin(F.broadcast(stats.select("avgdl")))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = (
-        weighed.select("term", "doc_id", part.alias("part")).join(wanted, "term")
-        .groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("qtf")).alias("score"))
-    )
-    rounded = scored.withColumn("score", F.round("score", 6))
+    n, avgdl = words.agg(F.count("*"), F.avg(F.size("w"))).head()
+    schema = "query_id long, doc_id long, score double"
+    out = spark.createDataFrame([], schema)
+    if not n:
+        return out.withColumn("rank", F.lit(1)).select("query_id", "rank", "doc_id", "score")
+    counts = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = written(counts.withColumn("idf", F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)))
+    mean_idf = raw.agg(F.avg("idf")).head()[0]
+
+    def against(block: list[tuple[int, list[str]]]) -> DataFrame:
+        asked = sorted({t for _, ts in block for t in ts})
+        idf = spark.createDataFrame([(t,) for t in asked], "term string").join(raw, "term")
+        known = {r["term"]: r["idf"] if r["idf"] >= 0 else 0.25 * mean_idf for r in idf.toLocalIterator()}
+        number = {t: i for i, t in enumerate(known)}
+        pairs = sorted((number[t], q, c) for q, (_, ts) in enumerate(block) for t, c in Counter(ts).items() if t in number)
+        at, q, c = (np.array(x, np.int64) for x in (zip(*pairs) if pairs else ((), (), ())))
+        shared = spark.sparkContext.broadcast((np.array([i for i, _ in block], np.int64), list(number), np.array([known[t] for t in number]), at, q, c))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q_ids, names, idfs, at, asking, times = shared.value
+            first = np.searchsorted(at, np.arange(len(names) + 1))
+            names = pa.array(names, pa.string())
+            best_score, best_id = np.full((len(q_ids), k), -np.inf), np.full((len(q_ids), k), -1, np.int64)
+            step = max(k, PRODUCTS // max(1, len(q_ids)))
+            for batch in batches:
+                for s in range(0, batch.num_rows, step):
+                    part = batch.slice(s, step)
+                    lists, ids = part.column("w"), part.column("doc_id").to_numpy(zero_copy_only=False)
+                    sizes = np.diff(lists.offsets.to_numpy())
+                    found = pc.fill_null(pc.index_in(lists.flatten(), value_set=names), -1).to_numpy(zero_copy_only=False)
+                    rows = np.repeat(np.arange(len(ids)), sizes)[found >= 0]
+                    key, tf = np.unique(rows * len(names) + found[found >= 0], return_counts=True)
+                    row, term = np.divmod(key, max(1, len(names)))
+                    weight = idfs[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[row] / avgdl))
+                    # every posting meets the queries that have its term
+                    n_asking = first[term + 1] - first[term]
+                    of = np.repeat(np.arange(len(term)), n_asking)
+                    hit = np.repeat(first[term] - (np.cumsum(n_asking) - n_asking), n_asking) + np.arange(n_asking.sum())
+                    flat = np.bincount(asking[hit] * len(ids) + row[of], weights=weight[of] * times[hit], minlength=len(q_ids) * len(ids))
+                    scores = np.round(flat.reshape(len(q_ids), len(ids)), 6)
+                    merged = np.concatenate([best_score, np.where(scores > 0, scores, -np.inf)], axis=1)
+                    m_ids = np.concatenate([best_id, np.broadcast_to(ids, scores.shape)], axis=1)
+                    # the k-th best score bounds what has to be sorted
+                    cut = np.partition(merged, -k, axis=1)[:, -k]
+                    for i in np.flatnonzero(np.isfinite(merged.max(axis=1))):
+                        some = np.flatnonzero((merged[i] >= cut[i]) & np.isfinite(merged[i]))
+                        some = some[np.lexsort((m_ids[i, some], -merged[i, some]))[:k]]
+                        best_score[i], best_id[i] = -np.inf, -1
+                        best_score[i, : len(some)], best_id[i, : len(some)] = merged[i, some], m_ids[i, some]
+            at_best = np.flatnonzero(np.isfinite(best_score.ravel()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(q_ids, k)[at_best]), pa.array(best_id.ravel()[at_best]), pa.array(best_score.ravel()[at_best])], names=["query_id", "doc_id", "score"]
+            )
+
+        return widen(words).mapInArrow(run, schema)
+
+    block: list[tuple[int, list[str]]] = []
+    for r in queries.select("query_id", terms(F.col("text")).alias("w")).toLocalIterator():
+        block.append((r[0], r[1]))
+        if len(block) == QUERY_BLOCK:
+            out, block = out.unionByName(against(block)), []
+    if block:
+        out = out.unionByName(against(block))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return rounded.withColumn("rank", rank).filter((F.col("rank") <= k) & (F.col("score") > 0)).select("query_id", "rank", "doc_id", "score")
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
 def hashing_encoder(dim: int = 64) -> Callable[[pd.Series], pd.Series]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as S
 from ..operators import chunking, expand, filtering, generation, graph, linking, metrics, ranking
+from ..session import written
 from ..sources.tables import table as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,9 +61,14 @@ def _tags(s: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("chunk_id").agg(pick("gender"), pick("geo_group"))
 
 
-def _bfs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _bfs(s: SparkSession, d: str, **how: object) -> tuple[DataFrame, DataFrame]:
     t = _triples(s, d)
-    return expand.bfs(_seeds(s, d), graph.mentions(t), graph.undirected(t))
+    return expand.bfs(_seeds(s, d), graph.mentions(t), graph.undirected(t), **how)
+
+
+def _best(s: SparkSession, d: str, k: int = expand.MAX_CHUNKS) -> DataFrame:
+    """(query_id, chunk_id, score): the best chunks of the expansion, written once for what follows."""
+    return written(expand.ranked(_bfs(s, d, top=k)[0], k).drop("rank"))
 
 
 def _texts(s: SparkSession, d: str) -> DataFrame:
@@ -254,7 +260,7 @@ def chunk_entities(s, d):
 
 @query
 def entity_chunks(s, d):
-    """KG5, KG9, KG10, J8."""
+    """KG5, KG9, KG10, J8: every link, with the number of the entity's."""
     return graph.links_by_entity(graph.mentions(_triples(s, d)))
 
 
@@ -284,7 +290,9 @@ def induced_subgraph(s, d):
 @query
 def edges_between(s, d):
     """KG7: parallel edges of every ordered pair that has some."""
-    return _triples(s, d).groupBy("subject", "obj").agg(F.count("*").alias("n"), F.countDistinct("relation").alias("n_relations")).filter("n > 1")
+    t = _triples(s, d)
+    pairs = t.groupBy("subject", "obj").agg(F.count("*").alias("n")).filter("n > 1").select("subject", "obj")
+    return graph.edges_between(t, pairs).groupBy("subject", "obj").agg(F.count("*").alias("n"), F.countDistinct("relation").alias("n_relations"))
 
 
 @query
@@ -426,7 +434,7 @@ def embedded_texts(s, d):
 @query
 def bfs_expand_chunks(s, d):
     """R5, R6, W1, A5."""
-    return expand.ranked(_bfs(s, d)[0], expand.MAX_CHUNKS).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
+    return expand.ranked(_bfs(s, d, top=expand.MAX_CHUNKS)[0], expand.MAX_CHUNKS).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
 
 
 @query
@@ -435,33 +443,36 @@ def bfs_expand_entities(s, d):
     return _bfs(s, d)[1].select("query_id", "entity", F.round("score", 9).alias("score"), "hop")
 
 
+def _fair(s, d, strategy):
+    """R9."""
+    t = _triples(s, d)
+    out = expand.fair_expand(_seeds(s, d), graph.mentions(t), graph.undirected(t), _tags(s, d), strategy)
+    return out.select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
+
+
 @query
 def fair_post_hoc(s, d):
     """R8-R10, W5."""
-    return expand.post_hoc(_bfs(s, d)[0], _tags(s, d)).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
+    return _fair(s, d, "post_hoc")
 
 
 @query
 def fair_in_traversal(s, d):
-    """R8, R11, R13."""
-    t = _triples(s, d)
-    m = graph.mentions(t)
-    chunks, _ = expand.bfs(_seeds(s, d), m, graph.undirected(t), adjust=expand.balance(_tags(s, d), m))
-    rounded = chunks.withColumn("score", F.round("score", 9))
-    return expand.ranked(rounded, expand.MAX_CHUNKS).select("query_id", "rank", "chunk_id", "score")
+    """R8, R9, R11, R13."""
+    return _fair(s, d, "in_traversal")
 
 
 @query
 def fair_constraint(s, d):
-    """R12, W6, Q6."""
-    return expand.constrained(_bfs(s, d)[0], _tags(s, d)).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
+    """R9, R12, W6, Q6."""
+    return _fair(s, d, "constraint")
 
 
 @query
 def graph_filtered(s, d):
     """R14, J11, J13, W2, Q2."""
     t = _triples(s, d)
-    top = expand.ranked(_bfs(s, d)[0], expand.MAX_CHUNKS).drop("rank")
+    top = _best(s, d)
     return filtering.graph_filter(top, graph.mentions(t), t, _questions(s, d)).select("query_id", "rank", "chunk_id", F.round("score", 9).alias("score"))
 
 
@@ -469,9 +480,9 @@ def graph_filtered(s, d):
 def edge_weights(s, d):
     """R15, SO3."""
     t = _triples(s, d)
-    chunks, entities = _bfs(s, d)
-    top = expand.ranked(chunks, expand.MAX_CHUNKS).drop("rank")
-    return filtering.edge_weights(top, graph.mentions(t), t, entities).withColumn("weight", F.round("weight", 9))
+    chunks, entities = _bfs(s, d, keep=True)
+    top = written(expand.ranked(chunks, expand.MAX_CHUNKS).drop("rank"))
+    return filtering.edge_weights(top, graph.mentions(t), t, entities, _questions(s, d)).withColumn("weight", F.round("weight", 9))
 
 
 @query
@@ -485,7 +496,7 @@ def spanning_forest(s, d):
 def dfs_contexts(s, d):
     """R17, R18."""
     t = _triples(s, d)
-    top = expand.ranked(_bfs(s, d)[0], 5).drop("rank")
+    top = _best(s, d, 5)
     ordered = filtering.dfs_order(top, graph.mentions(t), t)
     return filtering.organize(ordered, _texts(s, d)).select("query_id", F.md5("context").alias("digest"), S.word_count(F.col("context")).alias("n_words"))
 
@@ -493,7 +504,7 @@ def dfs_contexts(s, d):
 @query
 def reranked(s, d):
     """Stub scorer."""
-    top = expand.ranked(_bfs(s, d)[0], expand.MAX_CHUNKS)
+    top = _best(s, d)
     return ranking.rerank(top, _questions(s, d), _texts(s, d))
 
 
@@ -501,20 +512,23 @@ def reranked(s, d):
 def generated_answers(s, d):
     """Stub model over organised contexts."""
     t = _triples(s, d)
-    ordered = filtering.dfs_order(expand.ranked(_bfs(s, d)[0], 5).drop("rank"), graph.mentions(t), t)
+    ordered = filtering.dfs_order(_best(s, d, 5), graph.mentions(t), t)
     rows = _questions(s, d).join(filtering.organize(ordered, _texts(s, d)), "query_id", "left")
     return generation.generate(rows).select("query_id", "answer")
 
 
 @query
 def retrieval_sizes(s, d):
-    """Mean list sizes of the stages."""
-    seeds = _seeds(s, d)
-    expanded = expand.ranked(_bfs(s, d)[0], expand.MAX_CHUNKS)
-    n = _questions(s, d).agg(F.count("*").alias("n"))
-    a = seeds.agg(F.count("*").alias("a"))
-    b = expanded.agg(F.count("*").alias("b"))
-    return n.crossJoin(a).crossJoin(b).select(F.round(F.col("a") / F.col("n"), 6).alias("seed"), F.round(F.col("b") / F.col("n"), 6).alias("expanded"))
+    """Mean list sizes of the four stages over all questions."""
+    t = _triples(s, d)
+    m, questions = graph.mentions(t), _questions(s, d)
+    expanded = _best(s, d)
+    filtered = written(filtering.graph_filter(expanded, m, t, questions))
+    final = ranking.rerank(filtered, questions, _texts(s, d))
+    sizes = questions.agg(F.count("*").alias("n"))
+    for name, rows in (("seed", _seeds(s, d)), ("expanded", expanded), ("filtered", filtered), ("final", final)):
+        sizes = sizes.crossJoin(rows.agg(F.count("*").alias(name)))  # one row each
+    return sizes.select(*[F.round(F.col(c) / F.col("n"), 6).alias(c) for c in ("seed", "expanded", "filtered", "final")])
 
 
 # --- evaluation ----------------------------------------------------------------------------------------

@@ -177,6 +177,18 @@ def demo(keys: str, source: str, skip: str = "") -> str:
       select k.{keys}, z.gender, z.geo_group from (select distinct {keys} from {source}) k left join z using ({keys})"""
 
 
+FILTERED = f"""{BFS}, {RANKED}, top as (select * from ranked where rank <= 20), nd as (select distinct query_id, entity from top join m using (chunk_id)),
+        pa as (select distinct least(subject, obj) as a, greatest(subject, obj) as b from t where subject <> obj),
+        ins as (select x.query_id, a, b from pa join nd x on x.entity = a join nd y on y.entity = b and y.query_id = x.query_id),
+        qs as (select pred_id as query_id, coalesce(question, '') as question from predictions where pred_id % {EVERY} = 0),
+        hits as (select query_id, entity from nd join qs using (query_id) where contains(lower(question), lower(entity)) or len(list_filter(regexp_split_to_array(lower(question), '[ \\t\\n\\r\\f\\x0b]+'),
+          lambda w : len(list_intersect({grams('lower(trim(entity))')}, {grams('w')})) >= 0.9 * len(list_distinct(list_concat({grams('lower(trim(entity))')}, {grams('w')}))) - 1e-12)) > 0),
+        j as (select top.*, (select count(*) from nd where nd.query_id = top.query_id) as nn, (select count(*) from ins where ins.query_id = top.query_id) as ne,
+          (select count(*) from hits where hits.query_id = top.query_id) as nh, chunk_id in (select chunk_id from m) as has from top),
+        k as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from j where nn < 2 or (ne = 0 and nh < 2) or has),
+        fl as (select query_id, rank, chunk_id, score from k where rank <= 15)"""
+
+
 SQL: dict[str, str] = {
     "records_parsed": f"with {RECORDS} {LONG_RECORDS}",
     "record_qids": f"with {RECORDS} select _id, generate_subscripts(x, 1) - 1 as pos, unnest(x) as qid from (select _id, {qids('entity_ids')} as x from r)",
@@ -210,7 +222,7 @@ SQL: dict[str, str] = {
         b as (select count(*) as num_relations, count(distinct relation) as num_relation_types from t), c as (select count(distinct chunk_id) as num_chunks_mapped from m)
         select *, case when num_entities <= 1 then 0.0 else round(num_relations / (num_entities * (num_entities - 1)), 6) end as density from a, b, c""",
     "chunk_entities": f"with {MENTIONS} select chunk_id, count(*) as n, string_agg(entity, '|' order by entity) as entities from m group by 1",
-    "entity_chunks": f"with {MENTIONS} select entity, count(*) as n, min(chunk_id) as first_chunk, max(chunk_id) as last_chunk from m group by 1",
+    "entity_chunks": f"with {MENTIONS} select entity, chunk_id, count(*) over (partition by entity) as n from m",
     "neighbors_1hop": f"""with {EDGES} select distinct canonical_name as start, b as neighbor from canonical_entities join e on a = canonical_name where entity_id % {EVERY} = 0""",
     "neighbors_2hop": f"""with {EDGES}, s as (select canonical_name as start from canonical_entities where entity_id % {EVERY} = 0),
         n1 as (select distinct start, b from s join e on a = start), n2 as (select start, e.b from n1 join e on e.a = n1.b)
@@ -268,23 +280,16 @@ SQL: dict[str, str] = {
         c2 as (select query_id, chunk_id, round(max(score), 9) as score from (select * from c1 union all select query_id, chunk_id, score from a2 join m using (entity)) group by all),
         rk as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from c2)
         select query_id, rank, chunk_id, score from rk where rank <= 20""",
-    "graph_filtered": f"""with {BFS}, {RANKED}, top as (select * from ranked where rank <= 20), nd as (select distinct query_id, entity from top join m using (chunk_id)),
-        pa as (select distinct least(subject, obj) as a, greatest(subject, obj) as b from t where subject <> obj),
-        ins as (select x.query_id, a, b from pa join nd x on x.entity = a join nd y on y.entity = b and y.query_id = x.query_id),
-        qs as (select pred_id as query_id, coalesce(question, '') as question from predictions where pred_id % {EVERY} = 0),
-        hits as (select query_id, entity from nd join qs using (query_id) where contains(lower(question), lower(entity)) or len(list_filter(regexp_split_to_array(lower(question), '[ \\t\\n\\r\\f\\x0b]+'),
-          lambda w : len(list_intersect({grams('lower(trim(entity))')}, {grams('w')})) >= 0.8 * len(list_distinct(list_concat({grams('lower(trim(entity))')}, {grams('w')}))) - 1e-12)) > 0),
-        j as (select top.*, (select count(*) from nd where nd.query_id = top.query_id) as nn, (select count(*) from ins where ins.query_id = top.query_id) as ne,
-          (select count(*) from hits where hits.query_id = top.query_id) as nh, chunk_id in (select chunk_id from m) as has from top),
-        k as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) as rank from j where nn < 2 or (ne = 0 and nh < 2) or has)
-        select query_id, rank, chunk_id, round(score, 9) as score from k where rank <= 15""",
-    "edge_weights": f"""with {BFS}, {RANKED}, nd as (select distinct query_id, entity from ranked join m using (chunk_id) where rank <= 20),
-        pa as (select distinct least(subject, obj) as a, greatest(subject, obj) as b from t where subject <> obj),
-        ins as (select x.query_id, a, b from pa join nd x on x.entity = a join nd y on y.entity = b and y.query_id = x.query_id)
-        select ins.query_id, ins.a, ins.b, round(coalesce(va.score, 0) + coalesce(vb.score, 0), 9) as weight from ins
-        left join v va on va.query_id = ins.query_id and va.entity = ins.a left join v vb on vb.query_id = ins.query_id and vb.entity = ins.b""",
-    "retrieval_sizes": f"""with {BFS}, {RANKED}, n as (select count(*) as n from predictions where pred_id % {EVERY} = 0)
-        select round((select count(*) from seeds) / n, 6) as seed, round((select count(*) from ranked where rank <= 20) / n, 6) as expanded from n""",
+    "graph_filtered": f"with {FILTERED} select query_id, rank, chunk_id, round(score, 9) as score from fl",
+    "edge_weights": f"""with {FILTERED}, wg as (select ins.query_id, ins.a, ins.b, coalesce(va.score, 0) + coalesce(vb.score, 0) as weight from ins
+          left join v va on va.query_id = ins.query_id and va.entity = ins.a left join v vb on vb.query_id = ins.query_id and vb.entity = ins.b),
+        bo as (select x.query_id, x.entity as a, y.entity as b from hits x join hits y on x.query_id = y.query_id and x.entity < y.entity)
+        select query_id, a, b, round(coalesce(weight, 0) + case when bo.query_id is null then 0 else 2.0 end, 9) as weight from wg full join bo using (query_id, a, b)""",
+    "retrieval_sizes": f"""with {FILTERED}, n as (select count(*) as n from predictions where pred_id % {EVERY} = 0),
+        tx as (select chunk_id from (select chunk_id, arg_min(text, chunk_row) as text from chunks group by 1) where text is not null),
+        fi as (select query_id, least(5, count(*)) as k from fl join tx using (chunk_id) group by 1)
+        select round((select count(*) from seeds) / n, 6) as seed, round((select count(*) from top) / n, 6) as expanded, round((select count(*) from fl) / n, 6) as filtered,
+        round((select sum(k) from fi) / n, 6) as final from n""",
     "accuracy_summary": f"with {SCORED} select round(avg(em), 6) as em, round(avg(f1), 6) as f1, count(*) as n from sc",
     "support_summary": f"""with {RECORDS}, b as (select list_distinct(p.supporting_titles) as p, list_distinct(list_transform(r.supporting_facts, lambda x : x.title)) as g from predictions p join r on p.id = r._id
         where len(p.supporting_titles) > 0 and len(r.supporting_facts) > 0)

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def written_all(*dfs: DataFrame) -> list[DataFrame]:
+    """``written`` of tables that do not need each other, at the same time."""
+    ensure_checkpoint_dir(dfs[0].sparkSession)
+    with ThreadPoolExecutor(len(dfs)) as pool:
+        return list(pool.map(written, dfs))
+
+
 _shipped: set[str] = set()
 
 

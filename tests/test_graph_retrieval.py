@@ -1,5 +1,7 @@
 """The worked examples: A->B, C->B, C->D, E alone."""
 
+import itertools
+import math
 import random
 
 import numpy as np
@@ -71,6 +73,62 @@ def test_filter_and_order(spark, small):
     assert forest.count() == 2
 
 
+def test_query_boosts(spark, small):
+    """Entities that the question names have 2 more on their edge, or an edge of that weight."""
+    triples, mentions, _, _ = small
+    triples = triples.unionByName(spark.createDataFrame([("Lund", "in", "Malmö", "", 1.0)], triples.schema))
+    mentions = mentions.unionByName(spark.createDataFrame([("c7", "Lund"), ("c7", "Malmö"), ("c7", "Oslo"), ("c7", "A")], mentions.schema))
+    chunks = spark.createDataFrame([(1, c, 1.0) for c in ("c1", "c2", "c7")], "query_id long, chunk_id string, score double")
+    asked = spark.createDataFrame([(1, "Is LUND nearer to oslo than Malmö?"), (2, "Lund Oslo")], "query_id long, question string")
+    scores = spark.createDataFrame([(1, "A", 0.5, 0), (1, "B", 0.25, 1), (1, "Lund", 0.5, 0)], "query_id long, entity string, score double, hop int")
+    weights = lambda *a: {(r.a, r.b): r.weight for r in filtering.edge_weights(chunks, mentions, triples, *a).collect()}
+    assert weights() == {("A", "B"): 1.0, ("Lund", "Malmö"): 1.0}
+    assert weights(scores, asked.filter("query_id = 2")) == {("A", "B"): 0.75, ("Lund", "Malmö"): 0.5}
+    boosted = weights(scores, asked)
+    # 'a' stands in the question as a part of other words, as in the original
+    assert boosted == {("A", "B"): 0.75, ("Lund", "Malmö"): 2.5, ("Lund", "Oslo"): 2.0, ("Malmö", "Oslo"): 2.0, ("A", "Lund"): 2.0, ("A", "Malmö"): 2.0, ("A", "Oslo"): 2.0}
+
+
+def test_spanning_forest_by_force(spark):
+    """As many edges as nodes less components, and no forest is heavier."""
+    rnd = random.Random(1)
+    edges = {tuple(sorted(rnd.sample("abcdef", 2))): float(rnd.randint(1, 9)) for _ in range(8)}
+    rows = spark.createDataFrame([(1, a, b, w) for (a, b), w in edges.items()], "query_id long, a string, b string, weight double")
+
+    def grown(chosen):
+        root = {x: x for x in "abcdef"}
+        for a, b in chosen:
+            if root[a] == root[b]:
+                return None
+            root = {x: root[a] if r == root[b] else r for x, r in root.items()}
+        return len(chosen)
+
+    forests = [c for n in range(9) for c in itertools.combinations(edges, n) if grown(c) is not None]
+    most = max(map(len, forests))
+    got = filtering.spanning_forest(rows).collect()
+    assert len(got) == most and sum(r.weight for r in got) == max(sum(edges[e] for e in c) for c in forests if len(c) == most)
+
+
+def test_best_chunks_lose_nothing_by_pruning(spark):
+    rnd = random.Random(9)
+    triples = spark.createDataFrame([(f"e{rnd.randint(0, 60)}", "r", f"e{rnd.randint(0, 60)}") for _ in range(150)] + [("hub", "r", f"e{i}") for i in range(60)], "subject string, relation string, obj string")
+    mentions = spark.createDataFrame([(f"c{i}", f"e{rnd.randint(0, 60)}") for i in range(150)] + [(f"c{i}", "hub") for i in range(40)], "chunk_id string, entity string").distinct()
+    seeds = spark.createDataFrame([(q, f"c{rnd.randint(0, 149)}", 1.0 / (1 + i)) for q in range(4) for i in range(2 + 6 * q)], "query_id long, chunk_id string, score double")
+    tags = spark.createDataFrame([(f"c{i}", rnd.choice(["f", "m", None]), rnd.choice(["x", "y"])) for i in range(150)], "chunk_id string, gender string, geo_group string")
+    for k in (3, 12):
+        for adjust in (None, expand.balance(tags, mentions)):
+            rows = lambda **how: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 9)) for r in expand.ranked(expand.bfs(seeds, mentions, graph.undirected(triples), adjust=adjust, most=1.25, **how)[0], k).collect())  # noqa: B023, E731
+            assert rows() == rows(top=k)
+
+
+def test_fair_dispatch(small):
+    triples, mentions, tags, seeds = small
+    run = lambda strategy: [r.chunk_id for r in expand.fair_expand(seeds, mentions, graph.undirected(triples), tags, strategy).orderBy("rank").collect()]
+    assert run("post_hoc") == ["c1", "c6", "c2", "c5", "c3"] and run("constraint") == ["c6", "c2", "c5", "c3"] and run("in_traversal")[:2] == ["c1", "c6"]
+    with pytest.raises(ValueError):
+        run("other")
+
+
 def test_filter_keeps_the_list_where_nothing_is_linked(spark, small):
     triples, mentions, _, _ = small
     lone = spark.createDataFrame([(1, "c6", 0.8), (1, "c1", 0.5)], "query_id long, chunk_id string, score double")
@@ -86,7 +144,7 @@ def test_neighbours_and_subgraph(spark, small):
     assert (near(0), near(1), near(2)) == (set(), {"B"}, {"B", "C"})
     nodes = spark.createDataFrame([("A",), ("B",), ("D",)], "entity string")
     assert [(r.subject, r.obj) for r in graph.induced(triples, nodes).collect()] == [("A", "B")]
-    assert graph.edges_between(triples, "C", "D").count() == 1
+    assert graph.edges_between(triples, triples.filter("obj = 'D'")).count() == 1
 
 
 def test_clean_triples(spark):
@@ -103,6 +161,28 @@ def test_bm25_worked_example(spark):
     assert got == [(2, pytest.approx(0.680834, abs=2e-6)), (1, pytest.approx(0.063853, abs=2e-6))]
 
 
+def test_bm25_equals_brute_force(spark):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rnd.choices(words[: 6 + i % 25], k=rnd.randint(0, 12))) for i in range(60)] + ["all of W1"]
+    asked = [" ".join(rnd.choices([*words, "all", "zzz"], k=rnd.randint(0, 6))) for _ in range(9)]
+    docs = [t.lower().split() for t in texts]
+    n, avg = len(docs), sum(map(len, docs)) / len(docs)
+    df = {w: sum(w in d for d in docs) for d in docs for w in d}
+    idf = {w: math.log(n - f + 0.5) - math.log(f + 0.5) for w, f in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    score = lambda q, d: round(sum((idf[w] if idf[w] >= 0 else 0.25 * mean) * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / avg)) for w in q.split() if w in df), 6)
+    want = []
+    for q, text in enumerate(asked):
+        best = sorted((-score(text, d), i) for i, d in enumerate(docs))[:4]
+        want += [(q, k, i, -x) for k, (x, i) in enumerate(best, 1) if x < 0]
+    docs_df = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string").filter("text is not null")
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    got = sorted((r.query_id, r.rank, r.doc_id, r.score) for r in ranking.bm25_topk(queries, docs_df, 4).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-6 for g, w in zip(got, want))
+    assert ranking.bm25_topk(queries.limit(0), docs_df).count() == 0 and ranking.bm25_topk(queries, docs_df.limit(0)).count() == 0
+
+
 def test_dense_topk_equals_brute_force(spark):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((60, 8)).astype(np.float32)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from sparkloom.operators.joins import hot_join
+from sparkloom.operators.joins import hot_join, hot_keys, salted_join
 
 
 @pytest.mark.parametrize("how", ["left", "inner"])
@@ -20,3 +20,13 @@ def test_empty_sides(spark):
     classes = spark.createDataFrame([("a", 1, "x")], "value string, n long, big string")
     assert hot_join(left.limit(0), classes, "value", "id", "n", 0).count() == 0
     assert hot_join(left, classes.limit(0), "value", "id", "n", 1).head().big is None
+
+
+def test_salted_join_equals_plain_join(spark):
+    many = spark.createDataFrame([("hub" if i % 4 else f"k{i % 90}", i) for i in range(8000)], "a string, b long")
+    few = spark.createDataFrame([(q, a) for q in range(5) for a in ("hub", "k1", "k8", "none", None)], "q long, a string")
+    hot = hot_keys(many, "a")
+    assert [r.a for r in hot.collect()] == ["hub"]
+    got = salted_join(few, many, "a", "b", hot)
+    want = few.join(many, "a").select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
