@@ -11,9 +11,9 @@ MAX_TOKENS = 512
 
 
 def latest_records(records: DataFrame) -> DataFrame:
-    """One row for each ``_id``: a record that was sent twice counts once (its last row)."""
+    """One row for each ``_id``: a record that was sent twice counts once (its last row; one without a time comes before all others)."""
     others = [c for c in records.columns if c != "_id"]
-    last = records.groupBy("_id").agg(F.max_by(F.struct(*others), "loaded_at").alias("r"))
+    last = records.groupBy("_id").agg(F.max_by(F.struct(*others), F.struct("loaded_at")).alias("r"))
     return last.select("_id", *[F.col(f"r.{c}").alias(c) for c in others])
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written, written_all
@@ -141,24 +143,28 @@ def constrained(chunks: DataFrame, tags: DataFrame, attributes: tuple[str, ...]
     """A scan in rank order that takes a chunk unless one of its groups would exceed
     ``ratio`` of what is taken; so a tagged chunk cannot come first (Q6).
 
-    The scan is a fold over the query's candidates. How far it may go is not bounded by k, so all
-    of a query's chunks are in one array; queries are spread over the tasks.
+    How far the scan may go is not bounded by k, so a query's chunks stream through one task in
+    rank order; what is held is the counts of the at most ``k`` taken ones.
     """
-    listed = ranked(chunks).join(tags, "chunk_id", "left").groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score", *attributes))).alias("items")
-    )
-    item = "struct<rank:int,chunk_id:string,score:double," + ",".join(f"{a}:string" for a in attributes) + ">"
-    none = F.array().cast(f"array<{item}>")
-
-    def alike(x: Column, a: str) -> Callable[[Column], Column]:
-        return lambda t: t[a] == x[a]
-
-    def step(taken: Column, x: Column) -> Column:
-        size = F.size(taken)
-        bad = F.lit(False)
-        for a in attributes:
-            bad = bad | (x[a].isNotNull() & ((F.size(F.filter(taken, alike(x, a))) + 1) / (size + 1) > ratio))
-        return F.when((size >= k) | bad, taken).otherwise(F.concat(taken, F.array(x)))
-
-    folded = listed.select("query_id", F.explode(F.aggregate("items", none, step)).alias("x"))
-    return ranked(folded.select("query_id", "x.chunk_id", "x.score"))
+    listed = ranked(chunks).join(tags.select("chunk_id", *attributes), "chunk_id", "left").select("query_id", "rank", "chunk_id", "score", *attributes)
+    ordered = listed.repartition("query_id").sortWithinPartitions("query_id", "rank")
+    kind = dict(chunks.dtypes)["query_id"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, size, counts = None, 0, Counter()
+        for batch in batches:
+            ids, groups = batch.column("query_id").to_pylist(), list(zip(*(batch.column(a).to_pylist() for a in attributes)))
+            kept = []
+            for i, q in enumerate(ids):
+                if q != query:
+                    query, size, counts = q, 0, Counter()
+                if size >= k:
+                    continue
+                own = [(a, g) for a, g in zip(attributes, groups[i]) if g is not None]
+                if all((counts[x] + 1) / (size + 1) <= ratio for x in own):
+                    counts.update(own)
+                    size += 1
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64())).select(["query_id", "chunk_id", "score"])
+
+    return ranked(ordered.mapInArrow(scan, f"query_id {kind}, chunk_id string, score double"))

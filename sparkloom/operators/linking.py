@@ -11,8 +11,6 @@ from ..functions.text import jaccard, ngrams, qids
 from ..session import durable
 
 THRESHOLD, N = 0.90, 3
-#: Rounds after which label propagation gives up; pointer jumping halves distances every round.
-MAX_ROUNDS = 40
 
 
 def mention_counts(triples: DataFrame) -> DataFrame:
@@ -46,10 +44,11 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
 
 def components(pairs: DataFrame) -> DataFrame:
     """T4: (node, root): smallest node of each component of (a, b). Smallest neighbour label, then
-    the label's own label, until nothing changes; every round is checkpointed."""
+    the label's own label, until nothing changes: distances halve, so the rounds are as many as the logarithm of
+    the longest chain. Every round is checkpointed."""
     edges = durable(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = durable(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
-    for _ in range(MAX_ROUNDS):
+    while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
         least = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "m").alias("root"))
         jump = least.select(F.col("node").alias("root"), F.col("root").alias("up"))
@@ -58,7 +57,6 @@ def components(pairs: DataFrame) -> DataFrame:
         labels = new
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
 
 
 def clusters(triples: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

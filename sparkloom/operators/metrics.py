@@ -74,6 +74,25 @@ def retrieval_fairness(rows: DataFrame, k: int = 5, attributes: tuple[str, ...]
     return long_groups(with_rank, attributes).groupBy("attribute", "grp").agg(F.round(F.avg("rr"), 6).alias("mrr"), F.count("*").alias("n"))
 
 
+def all_metrics(scored: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(category, attribute, metric, value): accuracy, retrieval and fairness of ``scored`` predictions and ``ranked``
+    lists in one long table."""
+
+    def long(df: DataFrame, category: str, by: list[str]) -> DataFrame:
+        values = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns if c not in by])
+        return df.select(F.lit(category).alias("category"), F.concat_ws(":", *by).alias("attribute"), F.explode(values).alias("x")).select("category", "attribute", "x.metric", "x.value")
+
+    means = group_means(scored)
+    rounded = means.select("attribute", "grp", F.round("em", 6).alias("em"), F.round("f1", 6).alias("f1"), "n")
+    return (
+        long(accuracy(scored), "accuracy", [])
+        .unionByName(long(retrieval_metrics(ranked), "retrieval", ["k"]))
+        .unionByName(long(rounded, "fairness", ["attribute", "grp"]))
+        .unionByName(long(gaps(means, "em", "parity_gap"), "parity", ["attribute"]))
+        .unionByName(long(retrieval_fairness(ranked), "retrieval_fairness", ["attribute", "grp"]))
+    )
+
+
 def support_scores(predictions: DataFrame, records: DataFrame) -> DataFrame:
     """S8 over J1: mean F1 of the titles where both sides have some."""
     gold = records.select(F.col("_id").alias("id"), F.transform("supporting_facts", lambda x: x["title"]).alias("gold"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import pipeline
+from ..config import load_config
 from ..functions import text as S
 from ..operators import chunking, expand, filtering, generation, graph, linking, metrics, ranking
-from ..session import written
+from ..session import ensure_checkpoint_dir, written
 from ..sources.tables import table as T
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -601,17 +604,21 @@ def permutation_test(s, d):
 @query
 def evaluate_all(s, d):
     """One long table of all metrics."""
-    long = lambda df, category, by: df.select(F.lit(category).alias("category"), F.concat_ws(":", *by).alias("attribute"), F.posexplode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in df.columns if c not in by])).alias("at", "x")).select("category", "attribute", "x.metric", "x.value")
-    scored = _scored(s, d)
-    gold = _ranked_gold(s, d)
-    means = group_disparity(s, d)
-    return (
-        long(metrics.accuracy(scored), "accuracy", [])
-        .unionByName(long(metrics.retrieval_metrics(gold), "retrieval", ["k"]))
-        .unionByName(long(means, "fairness", ["attribute", "grp"]))
-        .unionByName(long(metrics.gaps(metrics.group_means(scored), "em", "parity_gap"), "parity", ["attribute"]))
-        .unionByName(long(metrics.retrieval_fairness(gold), "retrieval_fairness", ["attribute", "grp"]))
-    )
+    return metrics.all_metrics(_scored(s, d), _ranked_gold(s, d))
+
+
+@query
+def pipeline_end_to_end(s, d):
+    """All seven stages over the 100 sampled questions of W8, with stub models; the table of metrics."""
+    sc = s.sparkContext
+    ensure_checkpoint_dir(s)
+    out = f"{sc._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    settings = load_config("fair", [f"paths.records={d}/records.parquet", f"paths.demographics={d}/demographics.parquet", f"paths.output_dir={out}", "dataset.max_samples=100", "logging.level=ERROR", "logging.to_file=false"])
+    results = pipeline.run_pipeline(s, settings)
+    failed = [r for r in results.values() if r.status == "failed"]
+    if failed:
+        raise RuntimeError(f"{failed[0].stage}: {failed[0].message}")
+    return pipeline.Run(s, settings).table("metrics")
 
 
 # --- reports -------------------------------------------------------------------------------------------

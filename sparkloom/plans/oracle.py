@@ -153,6 +153,25 @@ CLUSTERS = (
     " pl as (select mc.name, mc.n, coalesce(root, lower(trim(name))) as cluster from mc left join roots on node = lower(trim(name))),"
     " cl as (select name, n, first_value(name) over (partition by cluster order by n desc, name) as canonical from pl)"
 )
+CHUNKED = (
+    RECORDS + ", pg as (select _id as question_id, o - 1 as para_no, p.title as source_title, list_filter(p.sentences, lambda x : x is not null) as ss,"
+    " coalesce(list_contains(list_transform(coalesce(supporting_facts, []), lambda x : x.title), p.title), false) as supports"
+    " from (select _id, supporting_facts, unnest(context) as p, generate_subscripts(context, 1) as o from r) where p.sentences is not null),"
+    f" sn as (select question_id, para_no, unnest(ss) as s, generate_subscripts(ss, 1) as pos from pg), sw as (select *, len({words('s')}) as n from sn),"
+    " fo as (select question_id, para_no, pos, s, n as open, 0 as idx from sw where pos = 1 union all"
+    " select sw.question_id, sw.para_no, sw.pos, sw.s, case when open + n > 512 then n else open + n end, case when open + n > 512 then idx + 1 else idx end"
+    " from fo join sw on sw.question_id = fo.question_id and sw.para_no = fo.para_no and sw.pos = fo.pos + 1),"
+    f" ch as (select f.question_id, f.para_no, f.idx, 'doc_' || {safe("coalesce(any_value(source_title), '')")} || '_' || f.idx as chunk_id, any_value(source_title) as source_title,"
+    " string_agg(s, ' ' order by pos) as text, any_value(supports) as supports from fo f join pg using (question_id, para_no) group by f.question_id, f.para_no, f.idx),"
+    " qc as (select question_id, row_number() over (partition by question_id order by seen, chunk_id) - 1 as ord, chunk_id"
+    " from (select question_id, chunk_id, min((para_no, idx)) as seen from ch group by 1, 2))"
+)
+EV_AFTER = EVIDENCE.removeprefix(RECORDS)
+#: Clusters of the names in the records' own evidence.
+EV_CLUSTERS = CLUSTERS.replace(TRIPLES, EVIDENCE + ", t as (select * from ev)")
+TO_QID = f""" f as (select question_id, subject, row_number() over (partition by question_id order by min(ord)) as nth from ev group by 1, 2),
+        i as (select _id as question_id, loaded_at, unnest(x) as qid, generate_subscripts(x, 1) as nth from (select _id, loaded_at, {qids('entity_ids')} as x from r)),
+        nq as (select subject as name, arg_max(qid, (loaded_at, question_id)) as qid from f join i using (question_id, nth) group by 1)"""
 LONG_RECORDS = (
     "select _id, coalesce(question_type, '') as question_type, coalesce(len(supporting_facts), 0) as n_supporting,"
     " coalesce(len(list_filter(evidences, lambda e : len(e) >= 3)), 0) as n_evidences, coalesce(len(context), 0) as n_paragraphs from r"
@@ -160,6 +179,11 @@ LONG_RECORDS = (
 EUROPE = "(" + ", ".join(f"'{q(c)}'" for c in S.EUROPEAN) + ")"
 
 
+def long(sql: str, category: str, attribute: str, metrics: list[str]) -> str:
+    values = ", ".join(f"cast({m} as double)" for m in metrics)
+    return f"select '{category}' as category, {attribute} as attribute, unnest({metrics}) as metric, unnest([{values}]) as value from ({sql})"
+
+
 def weighed(step: str, chunks: str, n: int) -> str:
     """One hop of balancing: scores of ``step`` by the groups in ``chunks``."""
     return f"""k{n} as (select query_id, attr, grp, count(*) as n from {chunks} join lt using (chunk_id) group by all),
@@ -212,6 +236,10 @@ SQL: dict[str, str] = {
     "props_parsed": "select event_id, cast(props ->> '$.k' as bigint) as k from events",
     "uri_tails": """select case when qid is null then null when qid like '%7' then 'female' when qid like '%1' then 'male' else 'other' end as gender, count(*) as n
         from demographics group by all""",
+    "chunk_corpus": f"""with recursive {CHUNKED} select chunk_id, arg_min_null(source_title, (question_id, para_no, idx)) as source_title, md5(arg_min(text, (question_id, para_no, idx))) as digest,
+        count(distinct question_id) as n_questions, bool_or(supports) as is_supporting from ch group by 1""",
+    "question_chunks": f"with recursive {CHUNKED} select question_id, ord, chunk_id from qc",
+    "linked_triples": f"""with recursive {CHUNKED}{EV_AFTER} select question_id, count(*) as n, count(distinct coalesce(chunk_id, '')) as n_chunks from ev left join qc using (question_id) group by 1""",
     "chunk_lookup": """with x as (select chunk_id, arg_min(text, chunk_row) as text from chunks group by 1), p as (select pred_id, unnest(retrieved_chunk_ids) as chunk_id from predictions)
         select pred_id, count(*) as n, cast(sum(len(text)) as bigint) as n_chars from p join x using (chunk_id) where text is not null group by 1""",
     "triples_extract": f"with {TRIPLES} select triple_id, subject, relation, obj, source_chunk_id from t",
@@ -237,9 +265,13 @@ SQL: dict[str, str] = {
     "cluster_count": f"{CLUSTERS} select count(distinct canonical) as n from cl",
     "normalised_triples": f"""{CLUSTERS}, o as (select triple_id, s.canonical as subject, x.canonical as obj from t join cl s on t.subject = s.name join cl x on t.obj = x.name)
         select * from o where subject <> obj""",
-    "entity_to_qid": f"""with {EVIDENCE}, f as (select question_id, subject, row_number() over (partition by question_id order by min(ord)) as nth from ev group by 1, 2),
-        i as (select _id as question_id, loaded_at, unnest(x) as qid, generate_subscripts(x, 1) as nth from (select _id, loaded_at, {qids('entity_ids')} as x from r))
-        select subject as name, arg_max(qid, (loaded_at, question_id)) as qid from f join i using (question_id, nth) group by 1""",
+    "entity_to_qid": f"with {EVIDENCE}, {TO_QID} select name, qid from nq",
+    "canonical_qids": f"""{EV_CLUSTERS}, {TO_QID}, mp as (select nq.name as "of", coalesce(canonical, nq.name) as canonical, qid from nq left join cl using (name)),
+        bo as (select canonical as name, qid, "of" from mp union all select "of", qid, "of" from mp) select name, arg_max(qid, "of") as qid from bo group by 1""",
+    "chunk_demographics": f"""with recursive {CHUNKED}{EV_AFTER}, {TO_QID}, {PEOPLE},
+        lk as (select distinct qc.chunk_id, entity from (select question_id, unnest([subject, obj]) as entity from ev) join qc using (question_id)),
+        jo as (select chunk_id, entity, gender, geo_group from lk left join nq on nq.name = entity left join people using (qid))
+        select chunk_id, arg_min(gender, entity) filter (gender <> '') as gender, arg_min(geo_group, entity) filter (geo_group <> '') as geo_group from jo group by 1""",
     "prediction_demographics": f"with {PEOPLE}, {demo('pred_id', 'predictions')}",
     "question_demographics": f"with {RECORDS}, {PEOPLE}, {demo('_id', 'r', 'skip')}",
     "demographics_coverage": f"with {PEOPLE} select count(*) as n, count(gender) as with_gender, count(geo_group) as with_geo from people",
@@ -280,6 +312,13 @@ SQL: dict[str, str] = {
         c2 as (select query_id, chunk_id, round(max(score), 9) as score from (select * from c1 union all select query_id, chunk_id, score from a2 join m using (entity)) group by all),
         rk as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from c2)
         select query_id, rank, chunk_id, score from rk where rank <= 20""",
+    "fair_constraint": f"""with recursive {BFS}, {RANKED}, {TAGS},
+        x as (select query_id, rank, chunk_id, score, gender, geo_group from ranked left join tags using (chunk_id)),
+        s as (select query_id, 0 as rank, cast(null as varchar) as chunk_id, cast(null as double) as score, false as took, cast([] as varchar[]) as gs, cast([] as varchar[]) as os, 0 as n from (select distinct query_id from x)
+          union all select x.query_id, x.rank, x.chunk_id, x.score, ok, case when ok then list_append(gs, coalesce(gender, '')) else gs end, case when ok then list_append(os, coalesce(geo_group, '')) else os end,
+            case when ok then n + 1 else n end from (select x.*, s.gs, s.os, s.n, s.n < 20 and not (gender is not null and (len(list_filter(s.gs, lambda v : v = gender)) + 1) / (s.n + 1) > 0.7)
+              and not (geo_group is not null and (len(list_filter(s.os, lambda v : v = geo_group)) + 1) / (s.n + 1) > 0.7) as ok from s join x on x.query_id = s.query_id and x.rank = s.rank + 1 where s.n < 20) x)
+        select query_id, row_number() over (partition by query_id order by score desc, chunk_id) as rank, chunk_id, round(score, 9) as score from s where took""",
     "graph_filtered": f"with {FILTERED} select query_id, rank, chunk_id, round(score, 9) as score from fl",
     "edge_weights": f"""with {FILTERED}, wg as (select ins.query_id, ins.a, ins.b, coalesce(va.score, 0) + coalesce(vb.score, 0) as weight from ins
           left join v va on va.query_id = ins.query_id and va.entity = ins.a left join v vb on vb.query_id = ins.query_id and vb.entity = ins.b),
@@ -336,3 +375,13 @@ SQL: dict[str, str] = {
     "first_per_type": f"with {RECORDS} select coalesce(question_type, '') as question_type, arg_min(_id, (loaded_at, _id)) as _id from r group by 1",
     "random_three": "select pred_id, md5('42:' || pred_id) as h from predictions order by h limit 3",
 }
+
+SQL["evaluate_all"] = " union all ".join(
+    (
+        long(SQL["accuracy_summary"], "accuracy", "''", ["em", "f1", "n"]),
+        long(SQL["retrieval_sweep"], "retrieval", "cast(k as varchar)", ["mrr", "recall", "precision"]),
+        long(SQL["group_disparity"], "fairness", "attribute || ':' || grp", ["em", "f1", "n"]),
+        long(SQL["demographic_parity"], "parity", "attribute", ["parity_gap"]),
+        long(SQL["retrieval_fairness"], "retrieval_fairness", "attribute || ':' || grp", ["mrr", "n"]),
+    )
+)
