@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -145,6 +146,40 @@ def test_defects_of_rows(spark, judge):
 
 # --- canonical values -----------------------------------------------------------------------------------------
 
+def test_replies_in_unknown_letters(judge):
+    """A language that no model knows is told by its letters; names in a sound reply are no language."""
+    assert judge[0].defect(Q, "ეს არის Fola Nirisk", "Fola Nirisk") == "other_language"
+    assert judge[0].defect(Q, "答案是Fola Nirisk。", "Fola Nirisk") == "other_language"
+    assert judge[0].defect(Q, "It is Fola Nirisk.", "Fola Nirisk") is None
+
+
+def test_evidence_of_the_reference_answer(judge):
+    """A name that stops inside the reference is cut off, the whole reference is not; without one, n-grams decide alone."""
+    assert judge[0].defect(Q, "It is Fola Nir", "Fola Nirisk") == "truncated"
+    assert judge[0].defect(Q, "It is Fola Nirisk", "Fola Nirisk") is None
+    assert judge[0].defect(None, "It is Fola Nirisk", None) is None and judge[0].defect("", None, None) == "empty"
+
+
+def test_end_model_counts_by_hand():
+    """The smoothed share of ends behind each suffix, as counted over plain strings."""
+    texts = ["the old town.", "the new town", "a town wall.", "the wall of the town."] * 2
+    ends = pairs.Ends(texts)
+    bodies = [pairs.Ends.body(t) for t in texts]
+    places = [(b[:k], k == len(b)) for b in bodies for k in range(2, len(b) + 1) if b[k - 1] != " " or k == len(b)]
+    weight = sum(e for _, e in places) / sum(not e for _, e in places)
+    for text in ("of the town", "the wal", "a to", "zzz"):
+        p = 0.5
+        for n in range(1, pairs.SUFFIX + 1):
+            suffix = f" {text}"[-n:]
+            if n > len(text) + 1:
+                break
+            e, c = sum(b.endswith(suffix) and e for b, e in places), sum(b.endswith(suffix) and not e for b, e in places)
+            if not e and not c or n > 1 and e + c < 2:
+                break
+            p = (e + p) / (e + c * weight + 1)
+        assert ends.cut(text) == pytest.approx(math.log((1 - p + 1e-6) / (p + 1e-6))), text
+
+
 NAMES = [(1, "Torvessa Quillandrake", "person"), (2, "Huwdow Harbour", "place"), (3, "The Paper Quarry of Dimm Part One", "film"), (4, "The Paper Quarry of Dimm Part Two", "film"), (5, "Plezzump Brothers and Company", "organisation"), (6, "Truda Trürvimet", "person"), (7, "River Quáw", "place"), (8, "Saint Chonild Brinwield", "person")]
 
 
