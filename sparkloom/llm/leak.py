@@ -9,6 +9,12 @@ least ``MIN_WORDS`` item words with at most one edit in ``EDIT_EVERY`` words con
 unchanged window of five, so the search loses none of them. From each confirmed window the passage
 is grown both ways by furthest-reaching edit paths, which decide exactly.
 
+A window is one pattern however many items have it. Of an admissible passage at least ``LEAST_WINDOWS`` different
+windows are unchanged (words - 4 - 5 * edits is never less), so a text that shares a single window with an item
+cannot quote it there: such pairs leave by their count before any passage is grown, and a stock phrase
+that more than ``HOT_ITEMS`` items have is not even paired with them where it is the only such phrase
+of a text. Pairs are made ``PAIRS`` at a time, so no phrase, however common on both sides, fills a task.
+
 The search runs where the documents are read; nothing is shuffled. The test set goes to the
 executors in blocks of at most ``BLOCK_WORDS`` words, whatever its size.
 
@@ -31,6 +37,8 @@ MIN_WORDS = 20
 EDIT_EVERY = 7
 #: The longest unchanged window that every such passage must contain.
 SEED_WORDS = 5
+#: Unchanged windows that every such passage has; items from which a window is hot; pairs made at once.
+LEAST_WINDOWS, HOT_ITEMS, PAIRS = 2, 64, 2_000_000
 #: Words of test items in one block of the broadcast tables.
 BLOCK_WORDS = 2_000_000
 #: Rows of text that are searched at once; words of a segment that moves as one cursor.
@@ -101,15 +109,23 @@ class Patterns:
         self.words = [[vocabulary.setdefault(w, len(vocabulary) + 1) for w in words] for _, words in items]
         self.vocabulary = pa.array(list(vocabulary), pa.string())
         windows = [(w[k : k + SEED_WORDS], n, k) for n, w in enumerate(self.words) for k in range(len(w) - SEED_WORDS + 1)]
-        self.at = np.array([(n, k) for _, n, k in windows], np.int32).reshape(-1, 2)
-        flat = np.array([w for w, _, _ in windows], np.int64).reshape(-1, SEED_WORDS)
+        at = np.array([(n, k) for _, n, k in windows], np.int32).reshape(-1, 2)
+        every = np.array([w for w, _, _ in windows], np.int64).reshape(-1, SEED_WORDS)
+        flat, which = np.unique(every, axis=0, return_inverse=True)
         self.shift = np.full(_TABLE, _FAR, np.uint8)
         for end in range(1, SEED_WORDS):  # the block that ends at word ``end`` of a pattern
             np.minimum.at(self.shift, self.block(flat[:, end - 1], flat[:, end]), SEED_WORDS - 1 - end)
         suffix = self.block(flat[:, -2], flat[:, -1])
         order = np.lexsort((np.arange(len(flat)), suffix))
-        self.at, self.flat, self.suffix = self.at[order], flat[order], suffix[order]
+        self.flat, self.suffix = flat[order], suffix[order]
         self.prefix = self.prefix_of(self.flat)
+        # (item, position) of every place of every window, by window
+        place = np.empty(len(flat), np.int64)
+        place[order] = np.arange(len(flat))
+        owner = place[which.ravel()]
+        by = np.argsort(owner, kind="stable")
+        self.at = at[by]
+        self.first = np.searchsorted(owner[by], np.arange(len(flat) + 1))
 
     @staticmethod
     def block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -162,17 +178,57 @@ class Patterns:
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n_seg) - n_seg, n_seg)
         starts = offsets[row] + nth * _SEGMENT
         ends = np.minimum(starts + _SEGMENT + SEED_WORDS - 1, offsets[row + 1])
-        at, pattern = self.search(ids, starts, ends)
+        at, window = self.search(ids, starts, ends)
         if not len(at):
             return
+        order = np.argsort(at, kind="stable")
+        at, window = at[order], window[order]
         rows = np.searchsorted(offsets, at, "right") - 1
-        seeds = sorted(set(zip(rows.tolist(), self.at[pattern, 0].tolist(), self.at[pattern, 1].tolist(), at.tolist())))
+        many = self.first[window + 1] - self.first[window]
+        # the only hot window of a text says nothing that the others do not
+        hot = many > HOT_ITEMS
+        kinds = np.unique(rows[hot] * len(self.flat) + window[hot]) // max(1, len(self.flat))
+        lone = np.bincount(kinds, minlength=len(offsets)) < LEAST_WINDOWS
+        keep = ~(hot & lone[rows])
+        at, window, rows, many = at[keep], window[keep], rows[keep], many[keep]
+        turns = np.flatnonzero(np.diff(rows, prepend=-1))
+        sums = np.concatenate(([0], np.cumsum(many)))
+        start = 0
+        while start < len(turns):
+            # as many whole texts as give PAIRS pairs, and one at least
+            low = sums[turns[start]]
+            stop = max(start + 1, int(np.searchsorted(sums[np.append(turns[1:], len(at))], low + PAIRS, "right")))
+            s, e = turns[start], turns[stop] if stop < len(turns) else len(at)
+            step = max(1, -(-int(sums[e] - low) // PAIRS))  # parts of the items, for a text that alone gives more
+            for part in range(step):
+                yield from self._grown(ids, offsets, at[s:e], window[s:e], rows[s:e], many[s:e], part, step)
+            start = stop
+
+    def _grown(self, ids: np.ndarray, offsets: np.ndarray, at: np.ndarray, window: np.ndarray, rows: np.ndarray, many: np.ndarray, part: int, step: int) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item id, words, edits) of the passages through some windows, for the items with number ``part`` modulo
+        ``step``."""
+        firsts = self.first[window]
+        if step > 1:
+            # places of a window are in order of their items: strided ones are cut out window by window
+            lists = [self.at[f : f + m] for f, m in zip(firsts, many)]
+            lists = [x[x[:, 0] % step == part] for x in lists]
+            found, many = np.concatenate(lists), np.array([len(x) for x in lists])
+        else:
+            found = self.at[np.repeat(firsts - (np.cumsum(many) - many), many) + np.arange(many.sum())]
+        row, place = np.repeat(rows, many), np.repeat(at, many)
+        pair = row * len(self.ids) + found[:, 0]
+        # different windows of the item, by their places in it
+        spots = np.unique(pair * (1 << 32) + found[:, 1]) >> 32
+        pairs, counts = np.unique(spots, return_counts=True)
+        enough = np.isin(pair, pairs[counts >= LEAST_WINDOWS])
+        seeds = sorted(set(zip(row[enough].tolist(), found[enough, 0].tolist(), found[enough, 1].tolist(), place[enough].tolist())))
         seen = set(seeds)
         best: tuple[int, int] | None = None
+        doc: list[int] = []
         for k, (r, n, i, j) in enumerate(seeds):
             # a window that continues the one before it belongs to the same run
             if (r, n, i - 1, j - 1) not in seen:
-                doc = ids[offsets[r] : offsets[r + 1]].tolist() if k == 0 or seeds[k - 1][0] != r else doc  # noqa: F821
+                doc = ids[offsets[r] : offsets[r + 1]].tolist() if k == 0 or seeds[k - 1][0] != r or not doc else doc
                 got = passage(self.words[n], doc, i, j - int(offsets[r]))
                 if got and (best is None or got > best):
                     best = got

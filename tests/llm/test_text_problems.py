@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.llm import canonical, leak, pack, pairs, residue
@@ -57,6 +58,27 @@ def test_leaks_equal_brute_force(spark):
     assert 5 < len(want) < 60
 
 
+@pytest.mark.parametrize("pairs_at_once, hot", [(leak.PAIRS, leak.HOT_ITEMS), (7, 3), (50, 1)])
+def test_stock_phrases_lose_nothing(monkeypatch, pairs_at_once, hot):
+    """A phrase of most items and texts, with passages that only such phrases share, against brute force."""
+    monkeypatch.setattr(leak, "PAIRS", pairs_at_once)
+    monkeypatch.setattr(leak, "HOT_ITEMS", hot)
+    rnd = random.Random(12)
+    stock = [[f"s{k}{i}" for i in range(6 + k)] for k in range(4)]
+    own = lambda n: [f"v{rnd.randint(0, 60)}" for _ in range(n)]
+    items = [own(rnd.randint(0, 12)) + stock[rnd.randint(0, 3)] + own(rnd.randint(0, 12)) + stock[rnd.randint(0, 3)] + own(rnd.randint(0, 9)) for _ in range(14)] + [stock[2] + stock[3] + stock[1]]
+    texts = [own(20) + stock[rnd.randint(0, 3)] + own(20) for _ in range(10)] + [stock[2] + stock[3] + stock[1], stock[2] + ["x"] + stock[3] + stock[1][1:]]
+    for item in items:
+        part = list(item[: rnd.randint(18, 40)])
+        for _ in range(rnd.randint(0, 3)):
+            part[rnd.randrange(len(part))] = "new"
+        texts.append(own(5) + part + own(5))
+    tables = leak.Patterns(list(enumerate(items)))
+    got = {(r, i) for r, i, _, _ in tables.leaks(pa.array([" ".join(t) for t in texts]))}
+    want = {(a, b) for a, t in enumerate(texts) for b, w in enumerate(items) if leaks_by_force(w, t)}
+    assert got == want and len(want) > 8
+
+
 def test_leak_ignores_markup_and_layout(spark):
     item = "One two, three four five six seven eight nine ten eleven twelve 13 fourteen fifteen sixteen Dan's eighteen nineteen twenty."
     shapes = [item.upper(), item.replace(" ", "<br/>\n"), "> " + item.replace(",", ""), item.replace("'", "&#39;").replace(" ", "&nbsp;"), " ".join(item.split()[:19])]
