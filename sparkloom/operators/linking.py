@@ -34,9 +34,11 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
         flat.join(rarity, "gram").withColumn("at", order)
         .join(grams.select("form", F.size("grams").alias("size")), "form").filter(F.col("at") <= keep).select("gram", "form", "size")
     )
-    other = prefix.select("gram", F.col("form").alias("b"), F.col("size").alias("size_b"))
-    pairs = prefix.join(other, "gram").filter((F.col("form") < F.col("b")) & (F.least("size", "size_b") >= threshold * F.greatest("size", "size_b") - 1e-9))
-    pairs = pairs.select(F.col("form").alias("a"), "b").distinct()
+    # partners of each admissible size are a key of their own, so a frequent gram is not one group
+    low = F.ceil(F.col("size") * threshold - 1e-9).cast("int")
+    x = prefix.select("gram", F.col("form").alias("x"), F.col("size").alias("size_x"), F.explode(F.sequence(low, F.col("size"))).alias("size"))
+    met = x.join(prefix.withColumnRenamed("form", "y"), ["gram", "size"]).filter((F.col("size") < F.col("size_x")) | (F.col("x") < F.col("y")))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     sets = lambda x: grams.select(F.col("form").alias(x), F.col("grams").alias(f"g{x}"))
     full = pairs.join(sets("a"), "a").join(sets("b"), "b")
     return full.select("a", "b", jaccard(F.col("ga"), F.col("gb")).alias("similarity")).filter(F.col("similarity") >= threshold)
