@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+
 CAPACITY = 2048
 #: Features of the hashed vector, coordinates of the projection, bits of each on the curve.
 FEATURES, DIMS, BITS = 4096, 3, 10
 #: Containers that a stretch of the curve holds open.
 OPEN = 64
-#: Sizes to pack in one partition at least; fewer stretches leave fewer containers part full.
-STRETCH_ITEMS = 2000
+#: Documents in one stretch of the curve, which one task packs; longer stretches leave fewer containers part full.
+STRETCH_ITEMS = 20_000
 
 
 def byt5_size(text: Column) -> Column:
@@ -97,65 +99,65 @@ def curve_key(docs: DataFrame, capacity: int) -> DataFrame:
     return sized.mapInArrow(run, "doc_id long, size long, place long")
 
 
-def fill(sizes: list[int], capacity: int, keep_open: int = OPEN) -> list[tuple[int, int]]:
-    """(first container, number of containers) of each item in order, by best fit among the open
-    containers."""
-    out = []
-    room: list[tuple[int, int]] = []  # (room left, container), ascending
-    made = 0
-    for size in sizes:
-        whole, rest = divmod(size, capacity) if size > capacity else (0, size)
-        if whole:
-            out.append((made, whole + (rest > 0)))
-            made += whole
+class Packer:
+    """Best fit among the open containers, for items in order; only the open containers are held."""
+
+    def __init__(self, capacity: int, keep_open: int = OPEN) -> None:
+        self.capacity, self.keep_open = capacity, keep_open
+        self.room: list[tuple[int, int]] = []  # (room left, container), ascending
+        self.made = 0
+
+    def place(self, size: int) -> tuple[int, int]:
+        """(first container, number of containers) of the next item."""
+        if size > self.capacity:
+            whole, rest = divmod(size, self.capacity)
+            at = (self.made, whole + (rest > 0))
+            self.made += whole
             if rest:
-                bisect.insort(room, (capacity - rest, made))
-                made += 1
+                bisect.insort(self.room, (self.capacity - rest, self.made))
+                self.made += 1
         else:
-            k = bisect.bisect_left(room, (size, -1))
-            if k < len(room):
-                left, container = room.pop(k)
+            k = bisect.bisect_left(self.room, (size, -1))
+            if k < len(self.room):
+                left, container = self.room.pop(k)
             else:
-                left, container = capacity, made
-                made += 1
-            out.append((container, 1))
+                left, container = self.capacity, self.made
+                self.made += 1
+            at = (container, 1)
             if left > size:
-                bisect.insort(room, (left - size, container))
-        if len(room) > keep_open:
-            del room[0]
-    return out
+                bisect.insort(self.room, (left - size, container))
+        if len(self.room) > self.keep_open:
+            del self.room[0]
+        return at
 
 
-def _stretches(docs: DataFrame, stretches: int | None) -> int:
-    """Range partitions: as many as the session shuffles into, if that leaves enough to pack."""
-    most = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return stretches or max(1, min(most, docs.count() // STRETCH_ITEMS))
+def fill(sizes: list[int], capacity: int, keep_open: int = OPEN) -> list[tuple[int, int]]:
+    """(first container, number of containers) of each item in order."""
+    packer = Packer(capacity, keep_open)
+    return [packer.place(size) for size in sizes]
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, stretches: int | None = None) -> DataFrame:
     """(doc_id, size, container, n_containers): container numbers the first of the item's
-    containers, unique over all stretches."""
-    keyed = curve_key(docs, capacity)
+    containers, unique over all stretches. The texts are read and hashed once; what the range sort samples and
+    moves is three numbers a document. How many stretches there are follows from the number of documents."""
+    keyed = written(curve_key(docs, capacity))
+    parts = stretches or max(1, -(-keyed.count() // STRETCH_ITEMS))
     # the hash spreads documents of one place, of which there may be any number
-    spread = keyed.repartitionByRange(_stretches(docs, stretches), "place", F.xxhash64("doc_id"))
+    spread = keyed.repartitionByRange(parts, "place", F.xxhash64("doc_id"))
     ordered = spread.sortWithinPartitions("place", F.xxhash64("doc_id"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        table = pa.Table.from_batches(rows).combine_chunks()
-        placed = fill(table.column("size").to_pylist(), capacity)
-        base = int(table.column("stretch")[0].as_py()) << 40
-        yield pa.RecordBatch.from_arrays(
-            [
-                table.column("doc_id").combine_chunks(),
-                table.column("size").combine_chunks(),
-                pa.array([base + c for c, _ in placed], pa.int64()),
-                pa.array([n for _, n in placed], pa.int64()),
-            ],
-            names=["doc_id", "size", "container", "n_containers"],
-        )
+        packer = Packer(capacity)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            base = batch.column("stretch")[0].as_py() << 40
+            placed = [packer.place(size) for size in batch.column("size").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("size"), pa.array([base + c for c, _ in placed], pa.int64()), pa.array([n for _, n in placed], pa.int64())],
+                names=["doc_id", "size", "container", "n_containers"],
+            )
 
     return ordered.select("doc_id", "size", F.spark_partition_id().alias("stretch")).mapInArrow(run, "doc_id long, size long, container long, n_containers long")
 
