@@ -9,8 +9,8 @@ source through the categories of each attribute in turn to a sink, with arcs for
 cell quotas of the flow are then drawn at random by a seeded hash.
 
 The draw is exact and free of hot groups: hash values fall into ``SLICES`` equal slices, whose
-counts for each cell are summed before the shuffle; whole slices are taken up to the quota and
-only the slice that the quota ends in is ranked.
+counts for each cell are summed before the shuffle and run up in Spark; whole slices are taken up to the quota and
+only the slice that the quota ends in is ranked. To the driver come the counts of cells alone.
 
 Defined results: categories compare without regard to letter case and extra white space; null and
 blank mean unknown, which is never a listed category; rows without an id are left out; an entity
@@ -28,6 +28,7 @@ from heapq import heappop, heappush
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .split import SPACE
 
 #: Slices of the hash range in which a quota's end is looked for.
@@ -217,54 +218,49 @@ def solve_all(entities: DataFrame, plans: dict[str, list[dict]]) -> dict[str, So
 _REPORT = "plan_id string, attribute string, category string, required long, available long, drawn long, shortfall long"
 
 
+def _entities(demographics: DataFrame, plans: dict[str, list[dict]]) -> DataFrame:
+    """Distinct entities with the attributes of the plans, written once for all of them."""
+    return written(distinct_entities(demographics, sorted({t["attribute"] for p in plans.values() for t in p})))
+
+
 def quota_report(demographics: DataFrame, targets: DataFrame) -> DataFrame:
     """For each target what it requires, what there is, what the sample gets and what is short."""
-    spark = demographics.sparkSession
     plans = _plans(targets)
-    entities = distinct_entities(demographics, sorted({t["attribute"] for p in plans.values() for t in p})).persist() if plans else None
-    rows = [r for s in (solve_all(entities, plans) if plans else {}).values() for r in s.report]
-    if entities is not None:
-        entities.unpersist()
-    return spark.createDataFrame(rows, _REPORT)
+    rows = [r for s in (solve_all(_entities(demographics, plans), plans) if plans else {}).values() for r in s.report]
+    return demographics.sparkSession.createDataFrame(rows, _REPORT)
 
 
 def quota_sample(demographics: DataFrame, targets: DataFrame, seed: int = 42) -> DataFrame:
-    """(plan_id, qid, cell): the drawn sample of every plan."""
+    """(plan_id, qid, cell): the drawn sample of every plan. A cell of two categories is named as a JSON list, so that
+    no two cells share a name."""
     spark = demographics.sparkSession
     plans = _plans(targets)
+    out = spark.createDataFrame([], "plan_id string, qid string, cell string")
     if not plans:
-        return spark.createDataFrame([], "plan_id string, qid string, cell string")
-    entities = distinct_entities(demographics, sorted({t["attribute"] for p in plans.values() for t in p}))
+        return out
+    entities = _entities(demographics, plans)
     solved = solve_all(entities, plans)
-    parts = []
     for plan_id, plan in plans.items():
         attributes = sorted({t["attribute"] for t in plan})
         names = [f"c{k}" for k in range(len(attributes))]
+        cell = F.col("c0") if len(names) == 1 else F.to_json(F.array(*names))
         u = F.xxhash64(F.lit(seed), F.lit(plan_id), F.col("qid"))
         sliced = _celled(entities, plan, attributes).select(
-            "qid", F.concat_ws("|", *names).alias("cell"), u.alias("u"), F.shiftrightunsigned(u, 64 - SLICES.bit_length() + 1).alias("slice")
+            *names, "qid", cell.alias("cell"), u.alias("u"), F.shiftrightunsigned(u, 64 - SLICES.bit_length() + 1).alias("slice")
         )
-        quotas = {"|".join(c): n for c, n in solved[plan_id].quotas.items() if n}
-        counts: dict[str, dict[int, int]] = defaultdict(dict)
-        for r in sliced.groupBy("cell", "slice").count().collect():  # at most SLICES counts a cell
-            counts[r["cell"]][r["slice"]] = r["count"]
-        ends = []  # the slice in which a quota ends and what is left of it there
-        for cell, quota in quotas.items():
-            left = quota
-            for s in sorted(counts[cell]):
-                if counts[cell][s] >= left:
-                    ends.append((cell, s, left))
-                    break
-                left -= counts[cell][s]
-        ended = spark.createDataFrame(ends, "cell string, last long, remaining long")
+        quotas = [(*c, n) for c, n in solved[plan_id].quotas.items() if n]  # as many as cells, which are checked
+        if not quotas:
+            continue
+        asked = F.broadcast(spark.createDataFrame(quotas, ", ".join(f"{n} string" for n in names) + ", quota long"))
+        before = F.coalesce(F.sum("count").over(Window.partitionBy("cell").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = sliced.groupBy(*names, "cell", "slice").count().join(asked, names).withColumn("before", before)
+        # the slice in which a quota ends and what is left of it there
+        ended = counts.filter("before < quota and before + count >= quota").select("cell", F.col("slice").alias("last"), (F.col("quota") - F.col("before")).alias("remaining"))
         near = sliced.join(F.broadcast(ended), "cell").filter("slice <= last")
         whole = near.filter("slice < last").select("qid", "cell")
         rank = F.row_number().over(Window.partitionBy("cell").orderBy("u", "qid"))
         partly = near.filter("slice = last").withColumn("rank", rank).filter("rank <= remaining").select("qid", "cell")
-        parts.append(whole.unionByName(partly).select(F.lit(plan_id).alias("plan_id"), "qid", "cell"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(whole.unionByName(partly).select(F.lit(plan_id).alias("plan_id"), "qid", "cell"))
     return out
 
 
