@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, ngrams, qids
-from ..session import durable
+from ..session import written
 
 THRESHOLD, N = 0.90, 3
 
@@ -25,7 +25,7 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
     length |A| - ceil(t |A|) + 1 says; the length filter and the full sets decide.
     ``names``: (form), distinct.
     """
-    grams = names.select("form", ngrams(F.col("form"), n).alias("grams"))
+    grams = written(names.select("form", ngrams(F.col("form"), n).alias("grams")))
     flat = grams.select("form", F.explode("grams").alias("gram"))
     rarity = flat.groupBy("gram").agg(F.count("*").alias("df"))
     keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1
@@ -47,14 +47,14 @@ def similar_pairs(names: DataFrame, threshold: float = THRESHOLD, n: int = N) ->
 def components(pairs: DataFrame) -> DataFrame:
     """T4: (node, root): smallest node of each component of (a, b). Smallest neighbour label, then
     the label's own label, until nothing changes: distances halve, so the rounds are as many as the logarithm of
-    the longest chain. Every round is checkpointed."""
-    edges = durable(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
+    the longest chain. Every round is written."""
+    edges = written(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("m"))
         least = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "m").alias("root"))
         jump = least.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = durable(least.join(jump, "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root")))
+        new = written(least.join(jump, "root", "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root")))
         changed = new.join(labels.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).count()
         labels = new
         if not changed:

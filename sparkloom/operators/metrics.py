@@ -145,7 +145,10 @@ def bootstrap_ci(scores: DataFrame, replicates: int = 1000, confidence: float =
     The draws need no neighbour, so rows are read once and leave each task as one sum a replicate.
     """
     drawn = _replicas(scores.filter("value is not null"), "key", replicates, _WEIGHTS, 8)
-    weight = sum(((F.col("digits") >= m).cast("int") for m in poisson_marks()), F.lit(0))
+    weight = F.when(F.col("digits") < poisson_marks()[0], 0)
+    for k, mark in enumerate(poisson_marks()[1:], 1):
+        weight = weight.when(F.col("digits") < mark, k)
+    weight = weight.otherwise(len(poisson_marks()))
     sums = drawn.select("rep", "value", weight.alias("w")).groupBy("rep").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("value")).alias("total"))
     means = sums.filter("n > 0").select("rep", F.round(F.col("total") / F.col("n"), 9).alias("m"))
     alpha = 1 - confidence
